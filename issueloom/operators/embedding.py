@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, DoubleType
 
 from issueloom.functions.text import or_empty
 from issueloom.rules import HASHES_PER_TOKEN, TOKEN_PATTERN, VECTOR_SIZE
@@ -20,7 +21,7 @@ def token_cells(token: str) -> np.ndarray:
                      for i in range(HASHES_PER_TOKEN)])
 
 
-@pandas_udf("array<double>")
+@pandas_udf(ArrayType(DoubleType()))
 def hash_vector(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Unit vectors of lower-case texts. Each distinct token of a batch is hashed once.
 

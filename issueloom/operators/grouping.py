@@ -1,13 +1,17 @@
 """From similar articles to issue groups."""
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from issueloom.functions.narrative import brief_summary, seed_summary
 from issueloom.functions.signals import impact, is_low_value
 from issueloom.functions.text import is_blank
 from issueloom.operators.categorize import categorize
 from issueloom.operators.dedupe import effective_members, group_sources, newest_first
-from issueloom.rules import CATEGORY_RULES, DEFAULT_CATEGORY
+from issueloom.operators.embedding import clusterable
+from issueloom.operators.selection import greedy_select, rank_rows
+from issueloom.operators.similarity import centroids, similar_pairs, with_blocks
+from issueloom.rules import CATEGORY_RULES, DEFAULT_CATEGORY, GROUP_THRESHOLD
+from issueloom.session import materialize
 
 
 def finalize_groups(members: DataFrame, articles: DataFrame, rules=CATEGORY_RULES, default: str = DEFAULT_CATEGORY
@@ -57,3 +61,69 @@ def first_articles(members: DataFrame, articles: DataFrame) -> DataFrame:
     first = (members.join(keyed, F.col("article_id") == F.col("id"))
              .groupBy("group_id").agg(F.min(newest_first("article_id"))["id"].alias("id")))
     return first.join(articles.select("id", "content", F.col("summary").alias("feed_summary")), "id").drop("id")
+
+
+def vector_nodes(articles: DataFrame, window: Column | None = None) -> DataFrame:
+    """(window, id, rank, vector, blocks) of the articles that can be grouped, ranked newest first per window.
+
+    Without a window every article may meet every other one.
+    """
+    nodes = clusterable(articles).select(
+        (window if window is not None else F.lit(0)).alias("window"), "id", "published_at", "first_seen_at",
+        F.col("embedding").alias("vector"))
+    ranked = rank_rows(nodes, "window", [F.desc("published_at"), F.desc("first_seen_at"), F.asc("id")])
+    return materialize(with_blocks(ranked.drop("published_at", "first_seen_at")), "nodes")
+
+
+def group_issues(articles: DataFrame, threshold: float = GROUP_THRESHOLD, window: Column | None = None,
+                 nodes: DataFrame | None = None) -> DataFrame:
+    """(window, article_id, leader_id, score): articles under the leader they are most like.
+
+    Newest first, an article leads unless an earlier leader reaches the threshold; the others join the best earlier
+    leader, the earliest on a tie. Leaders come from distinct vectors only: copies can never lead, so a group of
+    copies is one node here however large it is.
+    """
+    nodes = vector_nodes(articles, window) if nodes is None else nodes
+    twin = [F.xxhash64("vector"), F.hash("vector")]
+    firsts = nodes.groupBy("window", *[c.alias(f"_h{i}") for i, c in enumerate(twin)]).agg(F.min("rank").alias("rank"))
+    distinct = nodes.join(firsts.select("window", "rank"), ["window", "rank"], "left_semi")
+    leaders = greedy_select(distinct, lambda probe, index: similar_pairs(probe, index, threshold))
+    leaders = materialize(leaders, "leaders")
+    rest = nodes.join(leaders.select("window", "id"), ["window", "id"], "left_anti")
+    best = (similar_pairs(rest, leaders, threshold).groupBy("window", "later")
+            .agg(F.max(F.struct("score", (-F.col("earlier_rank")).alias("order"), "earlier")).alias("b")))
+    joined = best.select("window", F.col("later").alias("article_id"), F.col("b.earlier").alias("leader_id"),
+                         F.col("b.score").alias("score"))
+    return joined.unionByName(leaders.select("window", F.col("id").alias("article_id"), F.col("id").alias("leader_id"),
+                                             F.lit(1.0).alias("score")))
+
+
+def refine_groups(grouped: DataFrame, nodes: DataFrame, articles: DataFrame, threshold: float = GROUP_THRESHOLD,
+                  passes: int = 1) -> DataFrame:
+    """Move each article to the group whose mean vector it is most like, `passes` times.
+
+    An article that reaches no mean stays where it is. Means are plain averages: the mean of a loose group is
+    short, and harder to reach.
+    """
+    for _ in range(passes):
+        members = grouped.select(F.col("leader_id").alias("group_id"), "article_id")
+        windows = grouped.select("leader_id", "window").distinct()
+        means = centroids(members, articles).withColumnsRenamed({"group_id": "id"}).join(
+            windows.withColumnRenamed("leader_id", "id"), "id").withColumn("rank", F.lit(0).cast("bigint"))
+        # both sides get their blocks together, so a window is either compared whole or hashed on both sides
+        both = with_blocks(nodes.select("window", "id", "rank", "vector", F.lit(0).alias("side")).unionByName(
+            means.select("window", "id", "rank", "vector", F.lit(1).alias("side"))))
+        both = materialize(both, "refine")
+        best = (similar_pairs(both.filter("side = 0"), both.filter("side = 1"), threshold, ordered=False)
+                .groupBy("window", F.col("later").alias("article_id"))
+                .agg(F.max_by(F.struct("earlier", "score"), F.struct("score", "earlier")).alias("b")))
+        grouped = materialize(
+            grouped.join(best, ["window", "article_id"], "left").select(
+                "window", "article_id", F.coalesce("b.earlier", "leader_id").alias("leader_id"),
+                F.coalesce("b.score", "score").alias("score")), "groups")
+    return grouped
+
+
+def as_members(grouped: DataFrame) -> DataFrame:
+    """Group ids that stay the same from run to run: the hash of the leading article's id."""
+    return grouped.select(F.sha2("leader_id", 256).alias("group_id"), "article_id")

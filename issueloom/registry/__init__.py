@@ -1,6 +1,6 @@
 from importlib import import_module
 
-MODULES = ["text", "store"]
+MODULES = ["text", "store", "groups"]
 
 
 def load():

@@ -4,6 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from issueloom.operators.embedding import ensure_embeddings
 from issueloom.operators.grouping import finalize_groups
 from issueloom.sources.tables import LATIN_CATEGORY_RULES, articles_from_documents, events_as_log
 
@@ -25,15 +26,21 @@ class Tables:
     """The supplied tables under one folder, and the views derived from them."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+        self.spark, self.sf_dir, self._read = spark, sf_dir, {}
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        if name not in self._read:
+            self._read[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return self._read[name]
 
     @property
     def articles(self) -> DataFrame:
         return articles_from_documents(self.read("documents"), self.read("labels"))
 
+    @property
+    def embedded(self) -> DataFrame:
+        return ensure_embeddings(self.articles)
+
     @property
     def members(self) -> DataFrame:
         """Articles grouped by the first word of their title: sizes range from one to a hot group."""
