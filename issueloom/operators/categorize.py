@@ -14,14 +14,12 @@ def _masks(rules: list[tuple[str, list[str]]]) -> list[tuple[int, list[str]]]:
             for number, (_, words) in enumerate(rules) for i in range(0, len(words), WORDS_PER_MASK)]
 
 
-def word_masks(text: Column, rules=CATEGORY_RULES) -> list[Column]:
-    """One bit per rule word that occurs in the lower-case text."""
-    columns = []
-    for _, words in _masks(rules):
-        bits = [F.when(text.contains(word.lower()), F.lit(1 << i)).otherwise(F.lit(0)).cast("bigint")
-                for i, word in enumerate(words)]
-        columns.append(sum(bits[1:], bits[0]))
-    return columns
+def word_masks(text: str, rules=CATEGORY_RULES) -> list[Column]:
+    """One bit per rule word that occurs in the lower-case column `text`."""
+    def bit(i: int, word: str) -> str:
+        escaped = word.lower().replace("\\", "\\\\").replace("'", "\\'")
+        return f"if(contains({text}, '{escaped}'), {1 << i}L, 0L)"
+    return [F.expr(" + ".join(bit(i, w) for i, w in enumerate(words))) for _, words in _masks(rules)]
 
 
 def best_category(masks: list[Column], photo: Column, rules=CATEGORY_RULES, default: str = DEFAULT_CATEGORY) -> Column:
@@ -38,7 +36,7 @@ def article_category(articles: DataFrame, rules=CATEGORY_RULES, default: str = D
     """`articles` with the category each would have as an issue of its own. A map-only plan."""
     head = F.lower(F.concat_ws(" ", "source", "title"))
     text = F.lower(F.concat_ws(" ", "source", "title", "summary", "content"))
-    masks = word_masks(F.col("_text"), rules)
+    masks = word_masks("_text", rules)
     return (articles.withColumn("_text", text)
             .withColumn("category", best_category(masks, head.contains(PHOTO_SECTION), rules, default)).drop("_text"))
 
@@ -49,7 +47,7 @@ def categorize(members: DataFrame, articles: DataFrame, rules=CATEGORY_RULES, de
     head = F.lower(F.concat_ws(" ", "source", "title"))
     text = F.lower(F.concat_ws(" ", *[or_empty(F.col(c)) for c in ("source", "title", "summary", "content")]))
     hits = articles.select(F.col("id").alias("article_id"), head.contains(PHOTO_SECTION).alias("photo"), text.alias("t"))
-    masks = word_masks(F.col("t"), rules)
+    masks = word_masks("t", rules)
     names = [f"m{i}" for i in range(len(masks))]
     hits = hits.select("article_id", "photo", *[m.alias(n) for m, n in zip(masks, names)])
     merged = members.join(hits, "article_id").groupBy("group_id").agg(

@@ -4,10 +4,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from issueloom.functions.dates import korea_date
 from issueloom.functions.signals import impact, is_low_value, selection_score
-from issueloom.functions.text import clean_text, contains_any, tokens
+from issueloom.functions.text import clean_text, compact, contains_any, is_blank, tokens
 from issueloom.operators.dedupe import effective_counts
 from issueloom.operators.keywords import (
-    is_rollup_keyword, keyword_distribution, keyword_score, top_keywords)
+    keyword_distribution, keyword_score, rollup_keywords_of, top_keywords)
 from issueloom.operators.selection import greedy_select, rank_rows
 from issueloom.rules import TOPIC_RULES
 from issueloom.session import materialize
@@ -70,7 +70,7 @@ def topic_match(text: Column, subjects: list[str], events: list[str]) -> Column:
 def issue_keywords(issues: DataFrame, topics=TOPIC_RULES) -> DataFrame:
     """(window, id, rank, tokens, topics) of issues: the rollup keywords of their whole text, and their topics."""
     text = F.concat_ws(" ", "title", "summary", F.array_join("keywords", " "))
-    found = F.array_distinct(F.filter(tokens(clean_text(text)), is_rollup_keyword))
+    found = rollup_keywords_of(tokens(clean_text(text)))
     hits = F.filter(F.array(*[F.when(topic_match(text, s, e), F.lit(name)) for name, s, e in topics]),
                     lambda t: t.isNotNull())
     return issues.select(F.col("period").alias("window"), F.col("issue_id").alias("id"), "rank", found.alias("tokens"),
@@ -185,7 +185,6 @@ def top_issues(issues: DataFrame, categories: DataFrame, per_category: int = 4,
 
 def evidence(issue_articles: DataFrame, articles: DataFrame, n: int = 2) -> DataFrame:
     """(period, issue_id, pos, title, source, summary, excerpt, url): articles with a body first, then the newest."""
-    from issueloom.functions.text import compact, is_blank
     narrow = articles.select(F.col("id").alias("article_id"), is_blank(F.col("content")).alias("bare"), "published_at")
     order = Window.partitionBy("period", "issue_id").orderBy("bare", F.desc("published_at"), "article_id")
     picked = (issue_articles.dropDuplicates(["period", "issue_id", "article_id"]).join(narrow, "article_id")

@@ -9,21 +9,40 @@ NEWEST = 8  # articles of a group that lend it keywords
 BODY_CHARS = 2500
 
 
-def is_keyword(k: Column) -> Column:
+def _in_list(name: str, words: list[str]) -> str:
+    return f"{name} in (" + ", ".join(f"'{w}'" for w in words) + ")"
+
+
+# As SQL text a word list is one call to the JVM and becomes a hash set there.
+def keyword_sql(name: str) -> str:
     return (
-        F.length(k).between(2, 30) & ~k.rlike("^[0-9]+$") & ~k.isin(STOPWORDS)
-        & ~(k.endswith(REPORTER_SUFFIX) & (F.length(k) <= 5))
+        f"(length({name}) between 2 and 30 and not {name} rlike '^[0-9]+$' and not {_in_list(name, STOPWORDS)} "
+        f"and not (endswith({name}, '{REPORTER_SUFFIX}') and length({name}) <= 5))"
     )
 
 
-def is_rollup_keyword(k: Column) -> Column:
-    """Keywords telling enough to merge issues by."""
+def rollup_keyword_sql(name: str) -> str:
     return (
-        is_keyword(k) & ~k.rlike(COUNTED_UNIT_PATTERN) & ~(k.rlike("[0-9]") & (F.length(k) <= 4))
-        & ~(k.rlike(r"^[\x00-\x7F]+$") & (F.length(k) <= 3)) & ~k.isin(ROLLUP_STOPWORDS)
+        f"({keyword_sql(name)} and not {name} rlike r'{COUNTED_UNIT_PATTERN}' "
+        f"and not ({name} rlike '[0-9]' and length({name}) <= 4) "
+        f"and not (length({name}) <= 3 and {name} rlike r'^[\x00-\x7F]+$') and not {_in_list(name, ROLLUP_STOPWORDS)})"
     )
 
 
+def is_keyword(name: str) -> Column:
+    return F.expr(keyword_sql(name))
+
+
+def is_rollup_keyword(name: str) -> Column:
+    """Keywords telling enough to merge issues by."""
+    return F.expr(rollup_keyword_sql(name))
+
+
+def rollup_keywords_of(words: Column) -> Column:
+    """The rollup keywords of an array, each once."""
+    return F.call_function("filter", F.array_distinct(words), F.expr(f"k -> {rollup_keyword_sql('k')}"))
+
+
 def newest_members(effective: DataFrame, n: int) -> DataFrame:
     """The first `n` articles of every group; the limit is applied before the shuffle too."""
     order = Window.partitionBy("group_id").orderBy("order_key")
@@ -46,7 +65,7 @@ def keyword_weights(groups: DataFrame, effective: DataFrame, articles: DataFrame
         "group_id", "parts")
     words = (own.unionByName(lent).select("group_id", F.explode("parts").alias("p"))
              .select("group_id", F.col("p.w").alias("w"), F.explode(tokens(F.col("p.text"))).alias("keyword")))
-    return (words.filter(is_keyword(F.col("keyword"))).groupBy("group_id", "keyword")
+    return (words.filter(is_keyword("keyword")).groupBy("group_id", "keyword")
             .agg(F.sum("w").cast("int").alias("weight")))
 
 

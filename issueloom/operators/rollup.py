@@ -21,7 +21,7 @@ def posting_limit(total: Column) -> Column:
 
 def keyword_pairs(candidates: DataFrame, weights: DataFrame) -> DataFrame:
     """(period, group_id, k1, k2): pairs, in order, of the first eight of a group's top rollup keywords."""
-    tops = top_keywords(weights.filter(is_rollup_keyword(F.col("keyword"))), TOP_ROLLUP)
+    tops = top_keywords(weights.filter(is_rollup_keyword("keyword")), TOP_ROLLUP)
     lists = candidates.select("period", "group_id").join(tops, "group_id").select(
         "period", "group_id", F.array_sort(F.slice("keywords", 1, PAIRED)).alias("ks"))
     pairs = F.flatten(F.transform("ks", lambda a, i: F.transform(
@@ -174,7 +174,7 @@ def merged_issues(candidates: DataFrame, merged: DataFrame, effective: DataFrame
                .agg(F.transform(F.array_sort(F.collect_list("f")), lambda s: s["source"]).alias("all_sources")))
     articles = (rows.select(*key, "group_id").join(effective.select("group_id", "article_id"), "group_id")
                 .groupBy(*key).agg(F.countDistinct(F.lower("article_id")).cast("int").alias("distinct_articles")))
-    summed = (rows.select(*key, "group_id").join(weights.filter(is_rollup_keyword(F.col("keyword"))), "group_id")
+    summed = (rows.select(*key, "group_id").join(weights.filter(is_rollup_keyword("keyword")), "group_id")
               .groupBy(*key, "keyword").agg(F.sum("weight").cast("int").alias("weight")))
     keywords = top_keywords(summed, 8, key)
     none = F.array().cast("array<string>")

@@ -1,18 +1,20 @@
 """Keywords, roll-ups, issues and daily summaries."""
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from issueloom.functions import signals
+from issueloom.functions.text import tokens
 from issueloom.operators import issues as I
 from issueloom.operators import keywords as K
 from issueloom.operators import rollup as R
-from issueloom.operators.dedupe import effective_counts, effective_members
+from issueloom.operators.categorize import article_category
+from issueloom.operators.dedupe import effective_articles, effective_members
 from issueloom.plans import daily
 from issueloom.registry import sql as q
 from issueloom.registry.base import epoch, query
 from issueloom.rules import TOPIC_RULES
+from issueloom.session import materialize
 from issueloom.sources.tables import LATIN_CATEGORY_RULES
-from issueloom.operators.categorize import article_category
 
 AS_OF = 1706659200
 
@@ -273,9 +275,8 @@ def weights(t):
 @query("c8_rollup_keywords", f"""
 select doc_id, list_distinct(list_filter({q.tokens('text')}, lambda k: {q.rollup_ok('k')})).list_sort() as keywords from documents""")
 def rollup_words(t):
-    from issueloom.functions.text import tokens
-    return t.read("documents").select("doc_id", F.array_sort(F.array_distinct(
-        F.filter(tokens(F.col("text")), K.is_rollup_keyword))).alias("keywords"))
+    return t.read("documents").select(
+        "doc_id", F.array_sort(K.rollup_keywords_of(tokens(F.col("text")))).alias("keywords"))
 
 
 @query("c9_topic_match", f"""
@@ -365,7 +366,6 @@ def deduped(t):
 
 @query("g6_similar_issues", q.with_groups("select period, later, earlier from alike", *UP_TO_ISSUES, KEPT))
 def similar(t):
-    from issueloom.session import materialize
     ranked = I.rank_issues(issue_parts(t).issues)
     nodes = materialize(I.rarest_first(I.issue_keywords(ranked)), "nodes")
     return I.similar_issues(nodes, nodes).select(F.col("window").alias("period"), "later", "earlier")
@@ -463,8 +463,6 @@ article_category as (
   from articles a left join article_hits h on h.id = a.id
   left join (select distinct rule_order, category from rules) r on r.rule_order = h.rule_order group by a.id)"""))
 def slice_top(t):
-    from pyspark.sql import Window
-    from issueloom.operators.dedupe import effective_articles
     rows = article_category(effective_articles(t.articles), LATIN_CATEGORY_RULES)
     counts = rows.groupBy("category", "source").agg(F.count("*").cast("int").alias("articles"))
     scored = counts.withColumn("impact", signals.impact(F.col("articles"), F.lit(1)))
