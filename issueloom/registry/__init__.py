@@ -1,6 +1,6 @@
 from importlib import import_module
 
-MODULES = ["text", "store", "groups", "issues"]
+MODULES = ["text", "store", "groups", "issues", "feed"]
 
 
 def load():

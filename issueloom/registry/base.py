@@ -4,10 +4,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from issueloom.operators.dedupe import effective_members
 from issueloom.operators.embedding import ensure_embeddings
 from issueloom.operators.grouping import finalize_groups
+from issueloom.plans.brief_feed import briefs
+from issueloom.session import materialize
 from issueloom.sources.tables import LATIN_CATEGORY_RULES, articles_from_documents, events_as_log
 
+AS_OF = 1706659200  # 2024-01-31 00:00:00 UTC
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -50,6 +55,16 @@ class Tables:
     def groups(self) -> tuple[DataFrame, DataFrame]:
         return finalize_groups(self.members, self.articles, LATIN_CATEGORY_RULES)
 
+    def briefs(self) -> tuple[DataFrame, DataFrame]:
+        """(briefs, brief articles) of all groups."""
+        groups, members = self.groups()
+        groups, effective = materialize(groups, "groups"), materialize(effective_members(members, self.articles), "effective")
+        return materialize(briefs(groups, effective, self.articles, self.as_of), "briefs"), effective
+
+    @property
+    def as_of(self):
+        return F.timestamp_seconds(F.lit(AS_OF))
+
     @property
     def pages(self) -> DataFrame:
         return self.read("pages")

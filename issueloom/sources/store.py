@@ -1,7 +1,5 @@
 """Reads and writes of the article, group and summary tables."""
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from issueloom.functions.dates import korea_date
@@ -132,25 +130,29 @@ def upsert_summaries(current: DataFrame, new: DataFrame) -> DataFrame:
     return best.select("date", "row.*").select(*current.columns)
 
 
-def import_summaries(spark: SparkSession, path: str, as_of: Column) -> DataFrame:
-    """Hand-written summary files as summary rows. A file without a date fails the import."""
+def import_summaries(spark: SparkSession, path: str, as_of: Column) -> tuple[DataFrame, DataFrame]:
+    """(summaries, their issues' articles) of hand-written files. A file without a date fails the import."""
     raw = spark.read.schema(SUMMARY_FILE).option("multiLine", "true").json(path)
-    return raw.select(
-        F.when(is_blank(F.col("Date")), F.raise_error(F.lit("Date is required"))).otherwise(F.trim("Date")).alias("date"),
-        F.coalesce("GeneratedAt", as_of).alias("generated_at"),
+    date = F.when(is_blank(F.col("Date")), F.raise_error(F.lit("Date is required"))).otherwise(F.trim("Date"))
+    none = F.array().cast("array<string>")
+    issues = F.coalesce(F.transform("TopIssues", lambda i: F.struct(
+        i["Title"].alias("title"), i["Category"].alias("category"), i["Summary"].alias("summary"),
+        i["ArticleCount"].alias("article_count"), i["Score"].alias("score"),
+        F.coalesce(i["Sources"], none).alias("sources"), F.coalesce(i["Keywords"], none).alias("keywords"))),
+        F.array().cast(SUMMARIES["top_issues"].dataType))
+    summaries = raw.select(
+        date.alias("date"), F.coalesce("GeneratedAt", as_of).alias("generated_at"),
         F.when(is_blank(F.col("Provider")), F.lit("manual")).otherwise(F.trim("Provider")).alias("provider"),
-        F.coalesce("Model", F.lit("")).alias("model"), F.coalesce("Headline", F.lit("")).alias("headline"),
-        F.coalesce("Summary", F.lit("")).alias("summary"),
+        *[F.coalesce(a, F.lit("")).alias(b) for a, b in (("Model", "model"), ("Headline", "headline"), ("Summary", "summary"))],
         *[F.coalesce(a, F.lit(0)).alias(b) for a, b in (
             ("IssueCount", "issue_count"), ("ArticleCount", "article_count"), ("SourceCount", "source_count"))],
-        F.coalesce(F.col("Categories").cast(SUMMARIES["categories"].dataType), F.array()).alias("categories"),
-        F.coalesce(F.col("TopIssues").cast(SUMMARIES["top_issues"].dataType), F.array()).alias("top_issues"),
-    )
+        F.coalesce(F.col("Categories").cast(SUMMARIES["categories"].dataType),
+                   F.array().cast(SUMMARIES["categories"].dataType)).alias("categories"),
+        issues.alias("top_issues"))
+    articles = raw.select(date.alias("date"), F.posexplode("TopIssues").alias("i", "issue")).select(
+        "date", (F.col("i") + 1).alias("place"), F.explode("issue.ArticleIds").alias("article_id"))
+    return summaries, articles
 
 
 def recent_events(events: DataFrame, n: int, most: int = 200) -> DataFrame:
     return events.orderBy(F.desc("created_at"), F.desc("event_id")).limit(min(max(n, 1), most))
-
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)
