@@ -1,6 +1,6 @@
 from importlib import import_module
 
-MODULES = ["text", "store", "groups", "issues", "feed"]
+MODULES = ["text", "store", "groups", "issues", "feed", "ops", "streams"]
 
 
 def load():

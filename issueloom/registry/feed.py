@@ -6,8 +6,9 @@ from issueloom.functions.dates import day_key, weekly_key
 from issueloom.operators import edits as E
 from issueloom.operators import search as S
 from issueloom.operators import tracking as T
-from issueloom.operators.dedupe import effective_members
+from issueloom.operators.keywords import newest_members
 from issueloom.plans import weekly
+from issueloom.plans.article_search import article_search
 from issueloom.plans.brief_feed import brief_feed
 from issueloom.plans.local_text import local_category_summary, local_week_summary
 from issueloom.plans.prompt import render_prompt
@@ -89,8 +90,7 @@ def feed(t):
 
 @query("d1_group_articles", q.with_groups("select group_id, article_id, pos::int as pos, title from members m join articles a on a.id = m.article_id where pos <= 8"))
 def group_articles(t):
-    from issueloom.operators.keywords import newest_members
-    rows = newest_members(effective_members(t.members, t.articles), 8)
+    rows = newest_members(t.effective(), 8)
     return rows.join(t.articles.select(F.col("id").alias("article_id"), "title"), "article_id").select(
         "group_id", "article_id", "pos", "title")
 
@@ -161,7 +161,6 @@ select id, 3 as page, greatest(1, ceil(n / 25.0))::int as page_count, n::int as
   select *, count(*) over () as n, row_number() over (order by published_at desc, first_seen_at desc, id) as k from article_group where source = 'wire2')
 where k > 50 and k <= 75""", ARTICLE_GROUP))
 def search_page(t):
-    from issueloom.plans.article_search import article_search
     groups, _ = t.groups()
     result = article_search(t.articles, groups, t.members, page=3, size=25, source="wire2")
     n = result.numbers
@@ -255,19 +254,24 @@ def facets(t):
         S.source_name_facet(briefs).select(F.lit("source").alias("kind"), F.col("source").alias("name")))
 
 
-@query("e15_today_keywords", q.with_groups(f"""
-with first_issues as (
-  select arg_min(keywords, (-epoch_us(latest_published_at), group_id)) as keywords,
-    arg_min(list_distinct(list_concat(string_split(source, ', '), list_transform(links, lambda l: l.source))), (-epoch_us(latest_published_at), group_id)) as names
-  from briefs where {q.korea_date('latest_published_at')} >= date '2024-01-31'
-  group by source, lower({q.strip("regexp_replace(regexp_replace(title, '[^\\p{L}\\p{N} ]', '', 'g'), ' +', ' ', 'g')")})),
-words as (select names, unnest(list_distinct(keywords)) as keyword from first_issues)
-select keyword, count(distinct rowid) as issues, count(distinct s) as sources
-from (select keyword, rowid, unnest(names) as s from (select *, row_number() over () as rowid from words))
-group by keyword having count(distinct rowid) >= 2 and count(distinct s) >= 1
-order by issues desc, sources desc, keyword limit 16""", BRIEFS))
+TODAY = f"""
+first_issues as (
+  select row_number() over () as issue, keywords, names from (
+    select arg_min(keywords, (-epoch_us(latest_published_at), group_id)) as keywords,
+      arg_min(list_distinct(list_concat(string_split(source, ', '), list_transform(links, lambda l: l.source))),
+        (-epoch_us(latest_published_at), group_id)) as names
+    from briefs where {q.korea_date('latest_published_at')} = date '2024-01-30'
+    group by source, lower({q.strip("regexp_replace(regexp_replace(title, ' +', ' ', 'g'), '[^\\p{L}\\p{N} ]', '', 'g')")}))),
+today_words as (select issue, names, unnest(list_distinct(keywords)) as keyword from first_issues)
+"""
+
+
+@query("e15_today_keywords", q.with_groups("""
+select keyword, count(distinct issue) as issues, count(distinct s) as sources
+from (select keyword, issue, unnest(names) as s from today_words) group by keyword
+having count(distinct issue) >= 1 and count(distinct s) >= 1 order by issues desc, sources desc, keyword limit 16""", BRIEFS, TODAY))
 def todays(t):
-    return S.today_keywords(t.briefs()[0], t.as_of, min_issues=2, min_sources=1)
+    return S.today_keywords(t.briefs()[0], t.as_of - F.expr("INTERVAL 1 DAY"), min_issues=1, min_sources=1)
 
 
 @query("e16_feed_metrics", q.with_groups(f"""
@@ -330,7 +334,6 @@ from groups left join (select distinct group_id, true as relabelled from raw_mem
   where a.doc_id % 50 = 0 and group_id in (select group_id from groups)) using (group_id)"""))
 def group_edits(t):
     groups, _ = t.groups()
-    groups = materialize(groups, "groups")
     edits = groups.filter("article_count > 2").select(
         "group_id", F.lit("big").alias("category"), F.lit("Renamed").alias("representative_title"), F.lit("").alias("summary"))
     asked = t.articles.filter("doc_id % 50 = 0").select("id", F.lit("moved").alias("category"))
@@ -360,7 +363,7 @@ select strftime(t.period, '%Y-%m-%d') as date, t.place::int as place, t.title,
 from top_issues t""", *TOP_ROWS))
 def replied(t):
     s = R.summaries_of(t).summaries
-    title = F.upper(F.get("top_issues", 0)["title"])
+    title = F.lower(F.get("top_issues", 0)["title"])
     reply = F.concat(F.lit("Sure: "), F.to_json(F.struct(
         F.lit(" A headline ").alias("headline"), F.lit("").alias("summary"),
         F.array(F.struct(title.alias("title"), F.lit(" rewritten ").alias("summary")),
@@ -384,7 +387,7 @@ def weeks(t):
 
 @query("g8_week_days", q.with_groups("""
 select e as week_end, d::date as day, coalesce(n, 0)::int as issues from (
-  select (date '2024-01-07' + i * 7)::date as e from (select unnest(range(4)) as i)) w, lateral (select unnest(generate_series(e - interval 6 days, e, interval 1 day)) as d) x
+  select (date '2024-01-07' + (i * 7)::int)::date as e from (select unnest(range(4)) as i)) w, lateral (select unnest(generate_series(e - interval 6 days, e, interval 1 day)) as d) x
 left join (select period, count(*) as n from candidates group by 1) c on c.period = d::date""", *R.BASE))
 def spine(t):
     candidates, _, _ = R.candidate_parts(t)

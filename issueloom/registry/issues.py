@@ -8,7 +8,7 @@ from issueloom.operators import issues as I
 from issueloom.operators import keywords as K
 from issueloom.operators import rollup as R
 from issueloom.operators.categorize import article_category
-from issueloom.operators.dedupe import effective_articles, effective_members
+from issueloom.operators.dedupe import effective_articles
 from issueloom.plans import daily
 from issueloom.registry import sql as q
 from issueloom.registry.base import epoch, query
@@ -16,8 +16,6 @@ from issueloom.rules import TOPIC_RULES
 from issueloom.session import materialize
 from issueloom.sources.tables import LATIN_CATEGORY_RULES
 
-AS_OF = 1706659200
-
 KEYWORDS = f"""
 texts as (
   select group_id, {q.plain('representative_title')} as t, 4 as w from groups union all
@@ -225,21 +223,17 @@ UP_TO_ISSUES = (*BASE, PAIRS, COMPONENTS, ROLLUPS, ISSUES)
 
 
 def candidate_parts(t):
-    groups, members = t.groups()
-    return daily.daily_candidates(groups, members, t.articles)
+    return t.candidates()
 
 
 def issue_parts(t):
-    groups, members = t.groups()
-    return daily.daily_issues(groups, members, t.articles)
+    return t.issues()
 
 
 @query("e1_e2_effective_scores", q.with_groups(f"""
 select group_id, article_count as articles, len(sources)::int as sources, score as effective_score from groups"""))
 def effective_scores(t):
-    groups, members = t.groups()
-    effective = effective_members(members, t.articles)
-    return I.effective_scores(groups, effective).select(
+    return I.effective_scores(t.groups()[0], t.effective()).select(
         "group_id", F.col("effective_articles").alias("articles"), F.col("effective_sources").alias("sources"),
         "effective_score")
 
@@ -268,8 +262,7 @@ def distribution(t):
 
 @query("e6_c7_keyword_weights", q.with_groups("select * from weights", KEYWORDS))
 def weights(t):
-    groups, members = t.groups()
-    return K.keyword_weights(groups, effective_members(members, t.articles), t.articles)
+    return K.keyword_weights(t.groups()[0], t.effective(), t.articles)
 
 
 @query("c8_rollup_keywords", f"""
@@ -296,9 +289,7 @@ def groups_in_range(t):
 
 @query("h8_f2_group_keywords", q.with_groups("select group_id, keywords from top8", KEYWORDS))
 def group_keywords(t):
-    groups, members = t.groups()
-    found = K.keyword_weights(groups, effective_members(members, t.articles), t.articles)
-    return K.top_keywords(found, 8)
+    return K.top_keywords(K.keyword_weights(t.groups()[0], t.effective(), t.articles), 8)
 
 
 @query("d7_f7_selection_score", q.with_groups(
@@ -409,8 +400,7 @@ left join (select period, list(title order by place) as titles from top_issues g
 
 
 def summaries_of(t):
-    groups, members = t.groups()
-    return daily.daily_summaries(groups, members, t.articles, F.timestamp_seconds(F.lit(AS_OF)))
+    return t.summaries()
 
 
 @query("j2_b29_daily_summaries", q.with_groups(SUMMARY_SQL, *UP_TO_ISSUES, KEPT, TOP))

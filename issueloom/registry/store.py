@@ -5,14 +5,15 @@ from pyspark.sql import functions as F
 from issueloom.functions.text import is_blank
 from issueloom.operators.categorize import article_category
 from issueloom.operators.dedupe import effective_articles
+from issueloom.operators.embedding import clusterable
+from issueloom.operators.metrics import backfill_report
 from issueloom.registry import sql as q
-from issueloom.registry.base import epoch, query
+from issueloom.registry.base import AS_OF, epoch, query
 from issueloom.sources import store
+from issueloom.sources.feeds import active_articles, valid_items
 from issueloom.sources.tables import LATIN_CATEGORY_RULES
 
 RECENCY = "published_at desc, first_seen_at desc, id"
-AS_OF = 1706659200  # 2024-01-31 00:00:00 UTC
-
 
 @query("a6_article_scan", q.with_articles(f"""
 select id, title, source, author, feed_url, is_excluded, image_url, content_fetch_status,
@@ -94,7 +95,6 @@ def page_scan(t):
 select id, title from (select id, case when doc_id % 9 = 0 then ' ' else title end as title,
   case when doc_id % 11 = 0 then '' else url end as url from articles) where trim(title) <> '' and trim(url) <> ''"""))
 def valid(t):
-    from issueloom.sources.feeds import valid_items
     items = t.articles.withColumns({
         "title": F.when(F.col("doc_id") % 9 == 0, F.lit(" ")).otherwise(F.col("title")),
         "url": F.when(F.col("doc_id") % 11 == 0, F.lit("")).otherwise(F.col("url"))})
@@ -104,7 +104,6 @@ def valid(t):
 @query("c2_clusterable", q.with_articles(
     "select id from articles where not is_excluded and doc_id % 2 = 0"))
 def clusterable_articles(t):
-    from issueloom.operators.embedding import clusterable
     half = t.articles.withColumn("embedding", F.when(F.col("doc_id") % 2 == 0, F.array(F.lit(1.0))))
     return clusterable(half).select("id")
 
@@ -113,7 +112,6 @@ def clusterable_articles(t):
 select id from articles where feed_url = 'https://wire1.example/rss'
   or {q.publisher('feed_url')} in ('wire2.example', '연합뉴스')"""))
 def active(t):
-    from issueloom.sources.feeds import active_articles
     feeds = t.spark.createDataFrame(
         [("HTTPS://wire1.example/rss", True), ("https://wire2.example/other", True),
          ("https://wire3.example/rss", False), ("https://www.yna.co.kr/rss/news.xml", True)], "url string, is_active boolean")
@@ -205,7 +203,6 @@ select 50 as requested, least(50, count(*) filter (content_fetch_status = ''))::
   count(*) filter (content_fetch_status = 'success' or doc_id % 20 = 0) as success,
   count(*) filter (content_fetch_status = 'failed') as failed from articles"""))
 def backfill(t):
-    from issueloom.operators.metrics import backfill_report
     before = t.articles
     after = before.withColumn("content_fetch_status", F.when(
         F.col("doc_id") % 20 == 0, F.lit("success")).otherwise(F.col("content_fetch_status")))
