@@ -1,10 +1,8 @@
 """URL columns: safety, resolution, publishers."""
 
-from functools import reduce
-
 from pyspark.sql import Column, functions as F
 
-from issueloom.functions.text import WHITESPACE, is_blank, or_empty, strip
+from issueloom.functions.text import or_empty, strip
 from issueloom.rules import (
     GENERIC_SOURCES, NO_SOURCE, PUBLISHER_RULES, SHORT_SOURCE_RULES, UNKNOWN_PUBLISHER)
 
@@ -27,23 +25,32 @@ def safe_url(url: Column) -> Column:
     return F.when(is_http(url), strip(url)).otherwise(F.lit(""))
 
 
-def absolute_url(base: Column, ref: Column) -> Column:
-    """Resolve `ref` on `base`; blank unless the outcome is http(s)."""
-    ref = strip(or_empty(ref))
-    scheme = F.lower(_part(strip(base), "PROTOCOL"))
-    site = F.concat(scheme, F.lit("://"), _part(strip(base), "AUTHORITY"))
-    path = or_empty(_part(strip(base), "PATH"))
-    folder = F.when(path == "", F.lit("/")).otherwise(F.regexp_replace(path, "[^/]*$", ""))
-    resolved = (
+def _bind(value: Column, body) -> Column:
+    """`body(value)` with `value` worked out once: the plan holds it once too, however often `body` names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _resolve(base: Column, ref: Column) -> Column:
+    scheme = F.lower(_part(base, "PROTOCOL"))
+    site = F.concat(scheme, F.lit("://"), _part(base, "AUTHORITY"))
+    path = or_empty(_part(base, "PATH"))
+    return (
         F.when(ref.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), ref)
         .when(ref.startswith("//"), F.concat(scheme, F.lit(":"), ref))
         .when(ref.startswith("/"), F.concat(site, ref))
         .when(ref.startswith("?"), F.concat(site, F.when(path == "", F.lit("/")).otherwise(path), ref))
-        .otherwise(F.concat(site, folder, ref))
+        .otherwise(F.concat(site, F.when(path == "", F.lit("/")).otherwise(F.regexp_replace(path, "[^/]*$", "")), ref))
     )
-    flat = reduce(lambda c, _: F.regexp_replace(c, r"(?<=[^:/])/(?!\.\./)[^/]+/\.\./", "/"), range(3),
-                  F.regexp_replace(resolved, r"(?<!:/)/\./", "/"))
-    return F.when(is_blank(ref) | ~is_http(base), F.lit("")).otherwise(safe_url(flat))
+
+
+def absolute_url(base: Column, ref: Column) -> Column:
+    """Resolve `ref` on `base`; blank unless the outcome is http(s)."""
+    def resolved(pair):
+        flat = F.regexp_replace(_resolve(pair["b"], pair["r"]), r"(?<!:/)/\./", "/")
+        for _ in range(3):
+            flat = F.regexp_replace(flat, r"(?<=[^:/])/(?!\.\./)[^/]+/\.\./", "/")
+        return F.when((pair["r"] == "") | ~is_http(pair["b"]), F.lit("")).otherwise(_bind(flat, safe_url))
+    return or_empty(_bind(F.struct(strip(base).alias("b"), strip(or_empty(ref)).alias("r")), resolved))
 
 
 def publisher(url: Column) -> Column:
