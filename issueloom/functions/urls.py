@@ -122,9 +122,7 @@ def is_blocked_host(name: Column) -> Column:
 
 def url_admission(url: Column) -> Column:
     """`ok`, or why the URL is refused: `bad_url`, `unsafe`."""
-    user = _part(strip(url), "USERINFO")
-    return (
-        F.when(~is_http(url), F.lit("bad_url"))
-        .when((or_empty(user) != "") | is_blocked_host(_part(strip(url), "HOST")), F.lit("unsafe"))
-        .otherwise(F.lit("ok"))
-    )
+    def verdict(u):
+        unsafe = (or_empty(_part(u, "USERINFO")) != "") | is_blocked_host(_part(u, "HOST"))
+        return F.when(~is_http(u), F.lit("bad_url")).when(unsafe, F.lit("unsafe")).otherwise(F.lit("ok"))
+    return _bind(strip(url), verdict)
