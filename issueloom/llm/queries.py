@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from issueloom.llm import bpe
+from issueloom.llm import bpe, pii, shards
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -26,3 +26,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @query("op1_bpe_round_trip")
 def op1(spark, sf_dir):
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+
+
+@query("op8_jump_shards", f"""
+with recursive crc_table as (
+  select list(c order by i) as t from (
+    select i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+                          lambda x, y: case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end) as c
+    from (select range::bigint as i from range(256)))),
+d as (select row_number() over () as n, doc_id, encode(coalesce(text, '')) as b from documents),
+walk as (
+  select n, (case when coalesce(doc_id, 0) < 0 then coalesce(doc_id, 0)::hugeint + 18446744073709551616
+             else coalesce(doc_id, 0)::hugeint end)::uhugeint as k, 0::bigint as at, 0::bigint as nxt from d
+  union all
+  select n, k2, nxt, floor((nxt + 1) * (2147483648.0::double / ((k2 // 8589934592) + 1)::double))::bigint
+  from (select n, nxt, ((k * {shards.FACTOR}::uhugeint + 1) % 18446744073709551616::uhugeint) as k2
+        from walk where nxt <= 40)),
+placed as (
+  select n, (max(at) filter (at < 40))::integer as shard, max(at)::integer as grown_shard from walk group by n),
+sized as (
+  select d.doc_id, octet_length(b) + 16 as size,
+         xor(list_reduce(list_prepend(4294967295::bigint, list_transform(
+           range(1, octet_length(b) + 1), lambda i: ('0x' || hex(b[i:i]))::bigint)),
+           lambda x, y: xor(x >> 8, t[xor(x & 255, y) + 1])), 4294967295) as text_crc32, shard, grown_shard
+  from d join placed using (n), crc_table)
+select doc_id, size::bigint as size, text_crc32::bigint as text_crc32, 'key' as law, shard,
+       row_number() over (partition by shard order by doc_id nulls first, size, text_crc32) - 1 as slot, grown_shard
+from sized""")
+def op8(spark, sf_dir):
+    return shards.shard_documents(table(spark, sf_dir, "documents"), 40)
+
+
+@query("op7_personal_data")
+def op7(spark, sf_dir):
+    return pii.find(table(spark, sf_dir, "documents"))
