@@ -37,13 +37,13 @@ with recursive crc_table as (
 d as (select row_number() over () as n, doc_id, encode(coalesce(text, '')) as b from documents),
 walk as (
   select n, (case when coalesce(doc_id, 0) < 0 then coalesce(doc_id, 0)::hugeint + 18446744073709551616
-             else coalesce(doc_id, 0)::hugeint end)::uhugeint as k, 0::bigint as at, 0::bigint as nxt from d
+             else coalesce(doc_id, 0)::hugeint end)::uhugeint as k, 0::bigint as spot, 0::bigint as nxt from d
   union all
   select n, k2, nxt, floor((nxt + 1) * (2147483648.0::double / ((k2 // 8589934592) + 1)::double))::bigint
   from (select n, nxt, ((k * {shards.FACTOR}::uhugeint + 1) % 18446744073709551616::uhugeint) as k2
         from walk where nxt <= 40)),
 placed as (
-  select n, (max(at) filter (at < 40))::integer as shard, max(at)::integer as grown_shard from walk group by n),
+  select n, (max(spot) filter (spot < 40))::integer as shard, max(spot)::integer as grown_shard from walk group by n),
 sized as (
   select d.doc_id, octet_length(b) + 16 as size,
          xor(list_reduce(list_prepend(4294967295::bigint, list_transform(

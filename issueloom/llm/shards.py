@@ -1,5 +1,7 @@
 """Shards by jump consistent hashing: a key and the number of shards decide, no table of the ring is kept."""
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from issueloom.session import materialize
@@ -14,7 +16,7 @@ def jump_shards(key: Column, shards: int) -> Column:
     The chain of jumps for one more shard passes through the answer for `shards`, so both come from one walk, and a
     key either stays or moves to the new shard. Negative keys count as unsigned ones; a null key as 0.
     """
-    unsigned, modulus = "decimal(20,0)", F.lit(MODULUS).cast("decimal(20,0)")
+    unsigned, modulus = "decimal(20,0)", F.lit(Decimal(MODULUS)).cast("decimal(20,0)")
     start = F.coalesce(key.cast(unsigned), F.lit(0).cast(unsigned))
     start = F.when(start < 0, start + modulus).otherwise(start).cast(unsigned)
     zero = F.lit(0).cast("bigint")
