@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from issueloom.llm import bpe, pii, shards
+from issueloom.llm import bpe, neardup, pii, shards
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -60,3 +60,26 @@ def op8(spark, sf_dir):
 @query("op7_personal_data")
 def op7(spark, sf_dir):
     return pii.find(table(spark, sf_dir, "documents"))
+
+
+#: Word lists and shingle sets of a table (id, text) in SQL: A-Z in lower case, words parted by the six ASCII spaces.
+def shingles_sql(table: str, key: str) -> str:
+    return f"""
+  select {key} as id, case when len(w) >= 5 then list_distinct(list_transform(range(1, len(w) - 3), lambda i:
+           array_to_string(w[i:i + 4], ' '))) when len(w) > 0 then [array_to_string(w, ' ')] else [] end as s
+  from (select {key}, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+          'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w from {table})"""
+
+
+@query("op10_odd_sketch_near_duplicates", f"""
+with recursive sets as ({shingles_sql("documents", "doc_id")}),
+x as (select id, unnest(s) as g from sets), sized as (select id, len(s) as n from sets),
+pairs as (select a.id as a, b.id as b, count(*) as shared from x a join x b on a.g = b.g and a.id < b.id group by all),
+links as (select a, b from pairs join sized p on p.id = a join sized q on q.id = b
+          where 100 * shared >= 75 * (p.n + q.n - shared)),
+both_ways as (select a, b from links union all select b, a from links),
+reach as (select id, id as r from sets union select reach.id, both_ways.b from reach join both_ways on reach.r = both_ways.a)
+select id as doc_id, n as n_shingles, c as component_id, id = c as kept
+from sized join (select id, min(r) as c from reach group by id) using (id)""")
+def op10(spark, sf_dir):
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
