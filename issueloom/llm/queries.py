@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from issueloom.llm import bpe, neardup, pii, shards
+from issueloom.llm import bpe, decontam, neardup, pii, quality, shards, topk
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -83,3 +83,29 @@ select id as doc_id, n as n_shingles, c as component_id, id = c as kept
 from sized join (select id, min(r) as c from reach group by id) using (id)""")
 def op10(spark, sf_dir):
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op3_contaminated_documents", f"""
+with docs as ({shingles_sql("documents", "doc_id")}), items as ({shingles_sql("benchmark", "item_id")}),
+x as (select id, unnest(s) as g from docs), y as (select id, unnest(s) as g, len(s) as n from items)
+select x.id as doc_id, y.id as item_id, n as n_item, count(*) as n_shared
+from x join y using (g) group by all having 100 * count(*) >= 75 * n""")
+def op3(spark, sf_dir):
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op5_quality")
+def op5(spark, sf_dir):
+    return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op2_exact_top_k", """
+with v as (select vec_id, list_transform(embedding, lambda x: floor(x::double * 1024)) as e from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scored as (select q.vec_id as query_id, c.vec_id as vec_id, list_dot_product(q.e, c.e)::bigint as score
+  from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 100 = 0),
+ranked as (select query_id, (row_number() over (partition by query_id order by score desc, vec_id))::integer as rank,
+  vec_id, score from scored)
+select * from ranked where rank <= 10""")
+def op2(spark, sf_dir):
+    return topk.exact_top_k(topk.integer_vectors(table(spark, sf_dir, "embeddings")))
