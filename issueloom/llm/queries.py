@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from issueloom.llm import bpe, decontam, neardup, pii, quality, shards, topk
+from issueloom.llm import bpe, decontam, neardup, pii, quality, shards, suffixes, topk
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -109,3 +109,8 @@ ranked as (select query_id, (row_number() over (partition by query_id order by s
 select * from ranked where rank <= 10""")
 def op2(spark, sf_dir):
     return topk.exact_top_k(topk.integer_vectors(table(spark, sf_dir, "embeddings")))
+
+
+@query("op9_repeated_bytes")
+def op9(spark, sf_dir):
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents"))
