@@ -52,7 +52,6 @@ _random = np.random.default_rng(20240131)
 _BYTE = _random.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-_BYTE[_SPACE] = 0
 for _upper in range(ord("A"), ord("Z") + 1):
     _BYTE[_upper] = _BYTE[_upper + 32]
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -68,12 +67,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, first byte, row) of every word `[^\\x20\\x09-\\x0D]+`, A-Z taken as a-z."""
+def word_hashes(data: np.ndarray, offsets: np.ndarray, blank: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, first byte, row) of every run of bytes that are not `blank`, A-Z taken as a-z.
+
+    With the default, words are `[^\\x20\\x09-\\x0D]+`.
+    """
     n = len(data)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    inside = ~_SPACE[data]
+    inside = ~blank[data]
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
     heads = offsets[:-1][offsets[:-1] < n]
@@ -84,7 +86,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     lengths = np.diff(np.append(starts, n))
     place = np.arange(starts[0], n) - np.repeat(starts, lengths)
     powers = np.cumprod(np.full(int(place.max()) + 1, _STEP))
-    sums = np.add.reduceat(_BYTE[data[starts[0]:]] * powers[place], starts - starts[0])
+    sums = np.add.reduceat(np.where(blank, np.uint64(0), _BYTE)[data[starts[0]:]] * powers[place], starts - starts[0])
     return mix(sums), starts, np.searchsorted(offsets, starts, side="right") - 1
 
 

@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from issueloom.llm import bpe, decontam, neardup, pii, quality, shards, suffixes, topk
+from issueloom.llm import bpe, decontam, licenses, neardup, passages, pii, quality, shards, suffixes, topk
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -114,3 +114,13 @@ def op2(spark, sf_dir):
 @query("op9_repeated_bytes")
 def op9(spark, sf_dir):
     return suffixes.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+@query("op4_repeated_passages")
+def op4(spark, sf_dir):
+    return passages.repeated_passages(table(spark, sf_dir, "documents"))
+
+
+@query("op6_license_notices")
+def op6(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents"))
