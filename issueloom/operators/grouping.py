@@ -7,7 +7,6 @@ from issueloom.functions.signals import impact, is_low_value
 from issueloom.functions.text import is_blank
 from issueloom.operators.categorize import categorize
 from issueloom.operators.dedupe import effective_members, group_sources, newest_first
-from issueloom.operators.embedding import clusterable
 from issueloom.operators.selection import greedy_select, rank_rows
 from issueloom.operators.similarity import centroids, similar_pairs, with_blocks
 from issueloom.rules import CATEGORY_RULES, DEFAULT_CATEGORY, GROUP_THRESHOLD
@@ -63,39 +62,47 @@ def first_articles(members: DataFrame, articles: DataFrame) -> DataFrame:
     return first.join(articles.select("id", "content", F.col("summary").alias("feed_summary")), "id").drop("id")
 
 
-def vector_nodes(articles: DataFrame, window: Column | None = None) -> DataFrame:
+def vector_nodes(articles: DataFrame, window: Column | None = None, hashed: bool = False) -> DataFrame:
     """(window, id, rank, vector, blocks) of the articles that can be grouped, ranked newest first per window.
 
-    Without a window every article may meet every other one.
+    Without a window every article may meet every other one. Vectors are worked out once, and only narrow columns are
+    ranked.
     """
-    nodes = clusterable(articles).select(
+    made = materialize(articles.filter(~F.col("is_excluded")).select(
         (window if window is not None else F.lit(0)).alias("window"), "id", "published_at", "first_seen_at",
-        F.col("embedding").alias("vector"))
-    ranked = rank_rows(nodes, "window", [F.desc("published_at"), F.desc("first_seen_at"), F.asc("id")])
-    return materialize(with_blocks(ranked.drop("published_at", "first_seen_at")), "nodes")
+        F.col("embedding").alias("vector")), "vectors").filter(F.size("vector") > 0)
+    ranked = rank_rows(made.drop("vector"), "window", [F.desc("published_at"), F.desc("first_seen_at"), F.asc("id")])
+    nodes = made.select("window", "id", "vector").join(ranked.select("window", "id", "rank"), ["window", "id"])
+    return materialize(with_blocks(nodes.select("window", "id", "rank", "vector"), hashed), "nodes")
 
 
 def group_issues(articles: DataFrame, threshold: float = GROUP_THRESHOLD, window: Column | None = None,
                  nodes: DataFrame | None = None) -> DataFrame:
-    """(window, article_id, leader_id, score): articles under the leader they are most like.
+    """(window, article_id, leader_id, score): articles under the leader they are most like; every node is in one row.
 
     Newest first, an article leads unless an earlier leader reaches the threshold; the others join the best earlier
-    leader, the earliest on a tie. Leaders come from distinct vectors only: copies can never lead, so a group of
-    copies is one node here however large it is.
+    leader, the earliest on a tie. Copies of a vector that is near itself can never lead, so such a group is one node
+    here however large it is. A vector too short to be near itself (a text without tokens) is not folded: each leads.
     """
     nodes = vector_nodes(articles, window) if nodes is None else nodes
     twin = [F.xxhash64("vector"), F.hash("vector")]
-    firsts = nodes.groupBy("window", *[c.alias(f"_h{i}") for i, c in enumerate(twin)]).agg(F.min("rank").alias("rank"))
-    distinct = nodes.join(firsts.select("window", "rank"), ["window", "rank"], "left_semi")
+    near_itself = F.round(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x), 9) >= threshold
+    foldable = nodes.filter(near_itself)
+    firsts = foldable.groupBy("window", *[c.alias(f"_h{i}") for i, c in enumerate(twin)]).agg(F.min("rank").alias("rank"))
+    distinct = foldable.join(firsts.select("window", "rank"), ["window", "rank"], "left_semi").unionByName(
+        nodes.filter(~near_itself))
     leaders = greedy_select(distinct, lambda probe, index: similar_pairs(probe, index, threshold))
     leaders = materialize(leaders, "leaders")
     rest = nodes.join(leaders.select("window", "id"), ["window", "id"], "left_anti")
-    best = (similar_pairs(rest, leaders, threshold).groupBy("window", "later")
-            .agg(F.max(F.struct("score", (-F.col("earlier_rank")).alias("order"), "earlier")).alias("b")))
+    best = materialize(similar_pairs(rest, leaders, threshold).groupBy("window", "later")
+                       .agg(F.max(F.struct("score", (-F.col("earlier_rank")).alias("order"), "earlier")).alias("b")), "best")
     joined = best.select("window", F.col("later").alias("article_id"), F.col("b.earlier").alias("leader_id"),
                          F.col("b.score").alias("score"))
-    return joined.unionByName(leaders.select("window", F.col("id").alias("article_id"), F.col("id").alias("leader_id"),
-                                             F.lit(1.0).alias("score")))
+    # with hashed blocks a copy may miss its leader; it then leads itself and is not lost
+    alone = rest.join(best.select("window", F.col("later").alias("id")), ["window", "id"], "left_anti")
+    own = leaders.select("window", "id").unionByName(alone.select("window", "id"))
+    return joined.unionByName(own.select("window", F.col("id").alias("article_id"), F.col("id").alias("leader_id"),
+                                         F.lit(1.0).alias("score")))
 
 
 def refine_groups(grouped: DataFrame, nodes: DataFrame, articles: DataFrame, threshold: float = GROUP_THRESHOLD,
@@ -110,7 +117,6 @@ def refine_groups(grouped: DataFrame, nodes: DataFrame, articles: DataFrame, thr
         windows = grouped.select("leader_id", "window").distinct()
         means = centroids(members, articles).withColumnsRenamed({"group_id": "id"}).join(
             windows.withColumnRenamed("leader_id", "id"), "id").withColumn("rank", F.lit(0).cast("bigint"))
-        # both sides get their blocks together, so a window is either compared whole or hashed on both sides
         both = with_blocks(nodes.select("window", "id", "rank", "vector", F.lit(0).alias("side")).unionByName(
             means.select("window", "id", "rank", "vector", F.lit(1).alias("side"))))
         both = materialize(both, "refine")

@@ -1,8 +1,8 @@
 """Pairs of vectors whose dot product reaches a threshold.
 
-Small windows are compared whole. Larger ones are blocked by bands of sign bits of fixed random projections, and
-candidate pairs are then scored exactly. A block is never one task's business beyond a fixed size: crowded blocks
-are cut into chunks and every pair of chunks is a task of its own.
+Windows are compared whole, whatever their size: rows are cut into chunks and every pair of chunks is a task of its own,
+so the work of a window grows with its square but no task does. A caller that prefers speed to completeness may ask
+for blocks by bands of sign bits of fixed random projections; the size of the data never decides that.
 """
 
 import math
@@ -15,7 +15,6 @@ from pyspark.sql.functions import pandas_udf
 from issueloom.rules import GROUP_THRESHOLD
 from issueloom.session import materialize
 
-EXACT_ROWS = 4096  # windows up to this many rows skip the hashing
 CHUNK_ROWS = 2000
 TASK_ROWS = 20_000
 BITS, BANDS, SEED = 12, 80, 20240131
@@ -36,15 +35,13 @@ def band_keys(bits: int, bands: int, seed: int):
     return keys
 
 
-def with_blocks(nodes: DataFrame, exact_rows: int = EXACT_ROWS, bits: int = BITS, bands: int = BANDS, seed: int = SEED
+def with_blocks(nodes: DataFrame, hashed: bool = False, bits: int = BITS, bands: int = BANDS, seed: int = SEED
                 ) -> DataFrame:
-    """Add `blocks`: one key per window if it is small, else one per band."""
-    sizes = nodes.groupBy("window").count()
-    sized = nodes.join(sizes, "window")
-    small = sized.filter(F.col("count") <= exact_rows).withColumn("blocks", F.array(F.xxhash64("window")))
-    large = sized.filter(F.col("count") > exact_rows).withColumn(
-        "blocks", F.transform(band_keys(bits, bands, seed)(F.col("vector")), lambda k: F.xxhash64(F.col("window"), k)))
-    return small.unionByName(large).drop("count")
+    """Add `blocks`: the window itself, or with `hashed` one key per band, which finds most pairs but not all."""
+    if not hashed:
+        return nodes.withColumn("blocks", F.array(F.xxhash64("window")))
+    keys = band_keys(bits, bands, seed)(F.col("vector"))
+    return nodes.withColumn("blocks", F.transform(keys, lambda k: F.xxhash64(F.col("window"), k)))
 
 
 def _score_blocks(threshold: float, ordered: bool):
@@ -69,18 +66,20 @@ def _score_blocks(threshold: float, ordered: bool):
                 "window": probe["window"].to_numpy()[a], "later": probe["id"].to_numpy()[a],
                 "later_rank": probe["rank"].to_numpy()[a], "earlier": index["id"].to_numpy()[b],
                 "earlier_rank": index["rank"].to_numpy()[b], "score": dots[a, b]}))
-        if not out:
-            return pd.DataFrame({"window": [], "later": [], "later_rank": [], "earlier": [], "earlier_rank": [], "score": []})
-        return pd.concat(out)
+        none = rows.iloc[:0]  # keeps the types of an empty result
+        out.append(pd.DataFrame({"window": none["window"], "later": none["id"], "later_rank": none["rank"],
+                                 "earlier": none["id"], "earlier_rank": none["rank"], "score": none["rank"].astype("float64")}))
+        return pd.concat([o for o in out if len(o)] or out)
     return score
 
 
-def similar_pairs(probe: DataFrame, index: DataFrame, threshold: float = GROUP_THRESHOLD, ordered: bool = True
-                  ) -> DataFrame:
+def similar_pairs(probe: DataFrame, index: DataFrame, threshold: float = GROUP_THRESHOLD, ordered: bool = True,
+                  self_join: bool = False) -> DataFrame:
     """(window, later, later_rank, earlier, earlier_rank, score) for probe rows near index rows of their window.
 
     Both sides carry window, id, rank, vector and the `blocks` of `with_blocks`. With `ordered`, only index rows
-    of a lower rank count. Vectors travel once per block; only pairs that pass leave a task.
+    of a lower rank count. Vectors travel once per block and chunk pair; only pairs that pass leave a task. With
+    `self_join` (both sides are the same rows) blocks of a single row are left out, as they hold no pair.
     """
     columns = ["window", "id", "rank", "vector", "blocks"]
 
@@ -92,7 +91,7 @@ def similar_pairs(probe: DataFrame, index: DataFrame, threshold: float = GROUP_T
         index.select(F.explode("blocks").alias("block"), F.lit(1).alias("side")))
     sizes = materialize(
         keys.groupBy("block").agg(F.count_if(F.col("side") == 0).alias("probes"), F.count_if(F.col("side") == 1).alias("indexed"))
-        .filter("probes > 0 and indexed > 0 and probes + indexed > 2")
+        .filter("probes > 0 and indexed > 0" + (" and probes > 1" if self_join else ""))
         .selectExpr("block", f"ceil(probes / {CHUNK_ROWS}) as np", f"ceil(indexed / {CHUNK_ROWS}) as ni", "probes", "indexed"),
         "blocks")
     load = sizes.agg(F.sum(F.expr("probes * ni + indexed * np"))).first()[0] or 0

@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from issueloom.functions import dates, signals, text
+from issueloom.operators.grouping import group_issues
 from issueloom.operators.selection import greedy_select, ordered_select
 from issueloom.operators.similarity import similar_pairs, with_blocks
 
@@ -62,7 +63,7 @@ def test_selection_equals_the_scan(spark, monkeypatch):
     assert {int(r.id) for r in ordered_select(nodes, pairs).collect()} == want
 
 
-def test_batched_selection_on_vectors(spark):
+def test_batched_selection_on_vectors(spark, monkeypatch):
     rng = np.random.default_rng(3)
     base = rng.standard_normal((12, 32))
     vectors = np.vstack([b + 0.25 * rng.standard_normal((8, 32)) for b in base])
@@ -74,10 +75,35 @@ def test_batched_selection_on_vectors(spark):
     nodes = spark.createDataFrame([(0, str(i), i + 1, v.tolist()) for i, v in enumerate(vectors)],
                                   "window int, id string, rank bigint, vector array<double>")
     want = scan(len(vectors), edges)
-    for exact_rows in (4096, 1):  # compared whole, and hashed
-        blocked = with_blocks(nodes, exact_rows)
-        found = {(int(r.later), int(r.earlier)) for r in similar_pairs(blocked, blocked).collect()}
+    for hashed in (False, True):
+        blocked = with_blocks(nodes, hashed)
+        found = {(int(r.later), int(r.earlier)) for r in similar_pairs(blocked, blocked, self_join=True).collect()}
         assert found <= set(edges) and len(found) >= 0.95 * len(edges)
-        if exact_rows > 1:
+        if not hashed:
             kept = greedy_select(blocked, lambda p, i: similar_pairs(p, i), first_batch=16)
             assert found == set(edges) and {int(r.id) for r in kept.collect()} == want
+            # several chunks meet: the same pairs
+            monkeypatch.setattr("issueloom.operators.similarity.CHUNK_ROWS", 10)
+            monkeypatch.setattr("issueloom.operators.similarity.TASK_ROWS", 50)
+            assert {(int(r.later), int(r.earlier)) for r in similar_pairs(blocked, blocked).collect()} == set(edges)
+            monkeypatch.undo()
+
+
+def grouped_rows(spark, vectors):
+    schema = "id string, is_excluded boolean, published_at timestamp, first_seen_at timestamp, embedding array<double>"
+    stamp = F.timestamp_seconds(F.lit(0))
+    rows = spark.createDataFrame([(f"a{i:02d}", False, None, None, v) for i, v in enumerate(vectors)], schema)
+    rows = rows.withColumns({"published_at": stamp, "first_seen_at": stamp})
+    return {r.article_id: r.leader_id for r in group_issues(rows).collect()}
+
+
+def test_grouping_loses_no_article(spark):
+    x, near, far, zero = [1.0, 0.0], [0.9, 0.1], [0.0, 1.0], [0.0, 0.0]
+    assert grouped_rows(spark, []) == {}
+    assert grouped_rows(spark, [x]) == {"a00": "a00"}
+    assert grouped_rows(spark, [x, x]) == {"a00": "a00", "a01": "a00"}
+    assert grouped_rows(spark, [x, near]) == {"a00": "a00", "a01": "a00"}
+    assert grouped_rows(spark, [x, far]) == {"a00": "a00", "a01": "a01"}
+    assert grouped_rows(spark, [zero] * 4) == {f"a{i:02d}": f"a{i:02d}" for i in range(4)}
+    assert grouped_rows(spark, [x, zero, far, x, far, zero]) == {
+        "a00": "a00", "a01": "a01", "a02": "a02", "a03": "a00", "a04": "a02", "a05": "a05"}
