@@ -43,12 +43,28 @@ def _resolve(base: Column, ref: Column) -> Column:
     )
 
 
+def _fold_path(path: Column) -> Column:
+    """The path with its `.` and `..` steps taken; steps above the root are dropped."""
+    def step(done, part):
+        return (F.when(part == ".", done).when(part == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(1))))
+                .otherwise(F.array_append(done, part)))
+    parts = F.split(path, "/")
+    folded = F.aggregate(F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1))), F.array(F.lit("")), step)
+    ends_open = path.rlike(r"/\.\.?$")
+    return F.when(path.contains("/."), F.array_join(F.when(ends_open, F.array_append(folded, F.lit(""))).otherwise(folded), "/")
+                  ).otherwise(path)
+
+
 def absolute_url(base: Column, ref: Column) -> Column:
-    """Resolve `ref` on `base`; blank unless the outcome is http(s)."""
+    """Resolve `ref` on `base`, with `.` and `..` steps taken; blank unless the outcome is http(s)."""
+    def folded(u):
+        site = F.regexp_extract(u, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)([^?#]*)(.*)$", 1)
+        path = F.regexp_extract(u, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)([^?#]*)(.*)$", 2)
+        rest = F.regexp_extract(u, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)([^?#]*)(.*)$", 3)
+        return F.when(path == "", u).otherwise(F.concat(site, _bind(path, _fold_path), rest))
+
     def resolved(pair):
-        flat = F.regexp_replace(_resolve(pair["b"], pair["r"]), r"(?<!:/)/\./", "/")
-        for _ in range(3):
-            flat = F.regexp_replace(flat, r"(?<=[^:/])/(?!\.\./)[^/]+/\.\./", "/")
+        flat = _bind(_resolve(pair["b"], pair["r"]), folded)
         return F.when((pair["r"] == "") | ~is_http(pair["b"]), F.lit("")).otherwise(_bind(flat, safe_url))
     return or_empty(_bind(F.struct(strip(base).alias("b"), strip(or_empty(ref)).alias("r")), resolved))
 

@@ -76,9 +76,12 @@ with b as (select page_id, regexp_extract(url, '^([a-z]+)://', 1) as scheme,
   from pages)
 select page_id, scheme || '://' || site || '/img/a.png' as rooted,
   scheme || '://' || site || regexp_replace(path, '[^/]*$', '') || 'b.png' as relative,
+  scheme || '://' || site || '/y.png' as above, scheme || '://' || site || '/a/f.png?q=../z' as deep,
+  scheme || '://' || site || regexp_replace(path, '[^/]*$', '') || 'e/' as open_end,
   scheme || '://cdn.example/c.png' as schemeless, 'https://cdn.example/d.png' as full, '' as refused from b""")
 def resolved(t):
-    refs = dict(rooted="/img/a.png", relative="b.png", schemeless="//cdn.example/c.png",
+    refs = dict(rooted="/img/a.png", relative="b.png", above="../" * 12 + "y.png",
+                deep="/a/b/c/d/./e/../../../.././f.png?q=../z", open_end="e/g/..", schemeless="//cdn.example/c.png",
                 full="https://cdn.example/d.png", refused="javascript:void(0)")
     return t.pages.select("page_id", *[urls.absolute_url(F.col("url"), F.lit(r)).alias(n) for n, r in refs.items()])
 
@@ -239,6 +242,21 @@ texts as (
 select page_id, substr(max_by(body, length(body)), 1, 12000) as body from texts group by page_id"""
 
 
-@query("h5_extract_body", BODY_SQL)
+#: Markup put behind the article of a page, by page_id modulo 5, with the text that must come out of it.
+LONG = " ".join(["line"] * 6000)
+NESTED = {
+    1: (f'<div class="article-body"><div>cap</div>{LONG}<div><div>x</div></div> end</div>', f"cap{LONG}x end"),
+    2: (f'<section><article>a<article>b</article>{LONG}</article></section>', f"ab{LONG}"),
+    3: (f'<div id="dic_area"><div><p>q</p></div><br/>{LONG}', f"q{LONG}"),
+}
+
+
+@query("h5_extract_body", f"""
+with base as ({BODY_SQL})
+select page_id, case page_id % 5 {" ".join(f"when {k} then substr('{want}', 1, 12000)" for k, (_, want) in NESTED.items())}
+  else body end as body from base""")
 def bodies(t):
-    return t.pages.select("page_id", html.extract_body(F.col("html")).alias("body"))
+    more = F.lit("")
+    for k, (markup, _) in NESTED.items():
+        more = F.when(F.col("page_id") % 5 == k, F.lit(markup)).otherwise(more)
+    return t.pages.select("page_id", html.extract_body(F.concat("html", more)).alias("body"))
