@@ -523,18 +523,28 @@ def tracked_by_title(t):
     return T.track_by_title(issues, briefs)
 
 
-@query("e18_j9_tracked_issues", q.with_groups("""
+@query("e18_j9_tracked_issues", q.with_groups(f"""
 select issue_key, any_value(title) as title, any_value(category) as category, any_value(articles) as article_count,
-  count(distinct url)::int as link_count, count(distinct p)::int as publisher_count from (
+  count(distinct url)::int as link_count, list_sort(list(distinct p)) as publishers, list_sort(list(distinct url)) as urls from (
   select strftime(t.period, '%Y-%m-%d') || '#' || t.place as issue_key, t.title, t.category, t.articles, u.url, unnest(b.publishers) as p
   from top_issues t join (select distinct period, place, group_id from top_articles join members using (article_id)) x using (period, place)
-  join briefs b on b.group_id = x.group_id, lateral (select unnest(b.links).url as url) u) group by 1""", *TOP_ROWS, R.TOP_ARTICLES, BRIEFS))
+  join briefs b on b.group_id = x.group_id, lateral (select unnest(b.links).url as url) u where t.place % 3 <> 0) group by 1
+union all
+select issue_key, b.title, b.category, b.article_count, len(links)::int, list_sort(publishers),
+  list_sort(list_transform(links, lambda l: l.url))
+from (select issue_key, arg_min(group_id, (rule, -epoch_us(latest_published_at), group_id)) as group_id
+      from (select strftime(period, '%Y-%m-%d') || '#' || place as issue_key, group_id, b.latest_published_at,
+              case when {normal("t.title")} <> {normal("b.title")} then 3 when t.category = b.category then 1 else 2 end as rule
+            from top_issues t join briefs b on {normal("t.title")} = {normal("b.title")} or (t.category = b.category
+              and {normal("t.title")} <> '' and (contains({normal("b.title")}, {normal("t.title")}) or contains({normal("t.title")}, {normal("b.title")})))
+            where place % 3 = 0) group by 1)
+join briefs b using (group_id)""", *TOP_ROWS, R.TOP_ARTICLES, BRIEFS))
 def tracked(t):
     rows, _, briefs, shown = tracked_inputs(t)
-    every = R.summaries_of(t).issue_articles.select(
+    every = R.summaries_of(t).issue_articles.filter("place % 3 <> 0").select(
         F.concat_ws("#", "date", F.col("place").cast("string")).alias("issue_key"), "article_id")
     merged, _ = T.tracked_issues(rows.drop("date", "place"), every, briefs, shown)
-    return merged.select("issue_key", "title", "category", "article_count", "link_count",
-                         F.size("publishers").alias("publisher_count"))
+    return merged.select("issue_key", "title", "category", "article_count", "link_count", F.array_sort("publishers").alias("publishers"),
+                         F.array_sort(F.transform("related_links", lambda l: l["url"])).alias("urls"))
 
 
