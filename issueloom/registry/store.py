@@ -72,12 +72,13 @@ def newest_summaries(t):
 
 @query("a12_article_upsert", q.with_articles("""
 select id, case when doc_id % 5 = 0 then 'New ' || title else title end as title,
-  case when doc_id % 5 = 0 then '' else content end as content from articles where doc_id % 3 <> 0 or doc_id % 5 = 0"""))
+  case when doc_id % 5 = 0 then '' else content end as content from articles"""))
 def article_upsert(t):
     a = t.articles
     new = a.filter("doc_id % 5 = 0").withColumns(
         {"title": F.concat(F.lit("New "), "title"), "content": F.lit("")})
-    return store.upsert_articles(a.filter("doc_id % 3 <> 0"), new).select("id", "title", "content")
+    older = new.withColumns({"title": F.lit("old"), "updated_at": F.expr("updated_at - interval 1 day")})
+    return store.upsert_articles(a.filter("doc_id % 3 <> 0 or doc_id % 5 <> 0"), older.unionByName(new)).select("id", "title", "content")
 
 
 @query("a16_recent_events",

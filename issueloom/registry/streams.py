@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from issueloom.registry import sql as q
 from issueloom.registry.base import epoch, query
-from issueloom.session import shared_folder
+from issueloom.session import run_folder
 from issueloom.streaming import articles as S
 
 
@@ -17,14 +17,14 @@ def event_stream(t):
 
 
 def finished(t, stream, mode="complete"):
-    base = f"{shared_folder(t.spark)}/stream-{uuid.uuid4().hex}"
+    base = f"{run_folder(t.spark)}/stream-{uuid.uuid4().hex}"
     S.run_to_table(stream, f"{base}/table", f"{base}/state", mode).awaitTermination()
     return t.spark.read.parquet(f"{base}/table")
 
 
 @query("k2_stream_dedupe", "select distinct user_id from events")
 def deduped(t):
-    base = f"{shared_folder(t.spark)}/stream-{uuid.uuid4().hex}"
+    base = f"{run_folder(t.spark)}/stream-{uuid.uuid4().hex}"
     first = S.stream_dedupe(event_stream(t), "user_id", "at").select("user_id")
     first.writeStream.format("parquet").option("path", f"{base}/table").option(
         "checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
@@ -58,7 +58,7 @@ def stale(t):
 @query("k1_stream_ingest")
 def ingested(t):
     """The article table landed as files, streamed into a store."""
-    base = f"{shared_folder(t.spark)}/stream-{uuid.uuid4().hex}"
+    base = f"{run_folder(t.spark)}/stream-{uuid.uuid4().hex}"
     t.articles.drop("doc_id", "lang").write.parquet(f"{base}/landing")
     source = S.landed(t.spark, f"{base}/landing")
     S.stream_ingest(source, f"{base}/store", f"{base}/state").awaitTermination()

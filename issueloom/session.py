@@ -1,6 +1,5 @@
 """Session settings and the one way this library cuts lineage."""
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,15 +20,14 @@ def local_session(name: str = "issueloom", cores: str = "*", partitions: int = 8
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder. Only a local session may make up its own."""
+    """The cluster's checkpoint folder; where none is set, a folder inside the warehouse, which every executor reaches too."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    folder = tempfile.mkdtemp(prefix="issueloom-")
-    spark.sparkContext.setCheckpointDir(folder)
-    return folder
+    return folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/_issueloom"
+
+
+def run_folder(spark: SparkSession) -> str:
+    """Where this application keeps its intermediate tables."""
+    return f"{shared_folder(spark)}/issueloom-{spark.sparkContext.applicationId}"
 
 
 def materialize(df: DataFrame, label: str = "step") -> DataFrame:
@@ -39,6 +37,12 @@ def materialize(df: DataFrame, label: str = "step") -> DataFrame:
     and carries true file sizes, so later joins broadcast only what is known to be small.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{run_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession) -> None:
+    """Remove the intermediate tables of this application. Call it when nothing that was derived is read any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

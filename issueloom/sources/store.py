@@ -1,6 +1,6 @@
 """Reads and writes of the article, group and summary tables."""
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from issueloom.functions.dates import korea_date
 from issueloom.functions.text import is_blank
@@ -58,10 +58,12 @@ def missing_images(articles: DataFrame, n: int) -> DataFrame:
 
 
 def upsert_articles(current: DataFrame, new: DataFrame) -> DataFrame:
-    """Rows of `new` replace rows of `current` with the same id, as a whole.
+    """Rows of `new` replace rows of `current` with the same id, as a whole; of repeated ids the one updated last stays.
 
     An anti join lets Spark broadcast the ids of a small batch; a full outer join would shuffle the whole store.
     """
+    latest = Window.partitionBy("id").orderBy(F.col("updated_at").desc_nulls_last(), F.xxhash64(*new.columns))
+    new = new.withColumn("_turn", F.row_number().over(latest)).filter("_turn = 1")
     return new.select(*current.columns).unionByName(current.join(new.select("id"), "id", "left_anti"))
 
 

@@ -58,3 +58,9 @@ def events_as_log(events: DataFrame) -> DataFrame:
         F.lit("").alias("message"),
         F.col("props").alias("details"),
     )
+
+
+def create_views(**tables: DataFrame) -> None:
+    """Register tables as temporary views, for users who write SQL: create_views(articles=articles, groups=groups)."""
+    for name, table in tables.items():
+        table.createOrReplaceTempView(name)

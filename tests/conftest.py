@@ -1,10 +1,11 @@
 import pytest
 
-from issueloom.session import local_session
+from issueloom.session import discard, local_session
 
 
 @pytest.fixture(scope="session")
 def spark():
     session = local_session("tests", partitions=4)
     session.sparkContext.setLogLevel("ERROR")
-    return session
+    yield session
+    discard(session)

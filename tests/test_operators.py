@@ -107,3 +107,39 @@ def test_grouping_loses_no_article(spark):
     assert grouped_rows(spark, [zero] * 4) == {f"a{i:02d}": f"a{i:02d}" for i in range(4)}
     assert grouped_rows(spark, [x, zero, far, x, far, zero]) == {
         "a00": "a00", "a01": "a01", "a02": "a02", "a03": "a00", "a04": "a02", "a05": "a05"}
+
+
+def test_a_summary_from_outside_survives_the_run(spark):
+    from issueloom.functions.dates import korea_date
+    from issueloom.plans.pipeline import run_batch
+    from issueloom.registry.base import tables
+    from issueloom.schema import SUMMARIES, SUMMARY_ARTICLES
+    from issueloom.sources.tables import LATIN_CATEGORY_RULES, create_views
+
+    t = tables(spark, "/root/testdata/sf0.001")
+    a = t.articles.drop("doc_id", "lang")
+    empty = spark.createDataFrame([], SUMMARIES), spark.createDataFrame([], SUMMARY_ARTICLES)
+
+    def run(summaries, links, **kind):
+        return run_batch(spark, a.limit(0), a, t.pages.limit(0), summaries, links, "2024-01-29 00:00:00+00:00",
+                         group_window=korea_date(F.col("published_at")), rules=LATIN_CATEGORY_RULES, **kind)
+
+    first = run(*empty)
+    assert {r.provider for r in first.summaries.collect()} == {"local"} and first.summaries.count() == 2
+    given = first.summaries.filter("date not like 'weekly:%'").withColumns({"provider": F.lit("external"), "headline": F.lit("theirs")})
+    again = run(given, first.summary_articles)
+    create_views(summaries=again.summaries)
+    kept = {r.provider: r.headline for r in spark.sql("select * from summaries").collect()}
+    assert kept["external"] == "theirs" and set(kept) == {"external", "local"}
+    assert sorted(map(tuple, again.summary_articles.collect())) == sorted(map(tuple, first.summary_articles.collect()))
+
+
+def test_repeated_ids_keep_the_row_updated_last(spark):
+    from issueloom.sources.store import upsert_articles
+
+    schema = "id string, title string, updated_at timestamp"
+    at = lambda n: F.timestamp_seconds(F.lit(n))
+    rows = spark.createDataFrame([("a", "x", None), ("b", "y", None)], schema).withColumn("updated_at", at(0))
+    new = rows.filter("id = 'a'").withColumns({"title": F.lit("old"), "updated_at": at(5)}).unionByName(
+        rows.filter("id = 'a'").withColumns({"title": F.lit("new"), "updated_at": at(9)}))
+    assert {r.id: r.title for r in upsert_articles(rows, new).collect()} == {"a": "new", "b": "y"}
