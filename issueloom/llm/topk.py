@@ -61,8 +61,8 @@ def _bounds(queries: np.ndarray, high: np.ndarray, low: np.ndarray) -> np.ndarra
     return _products(plus, high) + _products(minus, low)
 
 
-def blocks_of(vectors: DataFrame, width: int) -> DataFrame:
-    """(block, n, least_id, ids, data, high, low): the index. Every vector is in it, in blocks of up to BLOCK_ROWS."""
+def blocks_of(vectors: DataFrame, width: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(block, n, least_id, ids, data, high, low): the index. Every vector is in it, in blocks of up to `block_rows`."""
     centres = _pivots(vectors, width)
 
     def place(batches):
@@ -77,8 +77,8 @@ def blocks_of(vectors: DataFrame, width: int) -> DataFrame:
 
     def cut(batches):
         for rows in batches:
-            for at in range(0, len(rows), BLOCK_ROWS):
-                part = rows.iloc[at:at + BLOCK_ROWS]
+            for at in range(0, len(rows), block_rows):
+                part = rows.iloc[at:at + block_rows]
                 x = _matrix(part["v"], width)
                 yield pd.DataFrame({"ids": [part["vec_id"].to_numpy().tobytes()], "data": [x.tobytes()],
                                     "high": [x.max(axis=0).tobytes()], "low": [x.min(axis=0).tobytes()]})
@@ -95,8 +95,8 @@ def _longs(data: bytes, width: int | None = None) -> np.ndarray:
 class _Search:
     """The k best so far of a group of queries."""
 
-    def __init__(self, pack, width: int, k: int):
-        self.width, self.k = width, k
+    def __init__(self, pack, width: int, k: int, block_rows: int):
+        self.width, self.k, self.block_rows = width, k, block_rows
         self.queries, self.own = _longs(pack["data"], width), _longs(pack["own"])
         self.ids, self.scores, self.places = (
             _longs(pack[c]).reshape(-1, k).copy() for c in ("best_ids", "best_scores", "best_places"))
@@ -115,7 +115,7 @@ class _Search:
                 continue
             ids = _longs(blocks["ids"].iloc[at])
             scores = _products(self.queries[live], _longs(blocks["data"].iloc[at], self.width))
-            rows = blocks["block"].iloc[at] * BLOCK_ROWS + np.arange(len(ids))
+            rows = blocks["block"].iloc[at] * self.block_rows + np.arange(len(ids))
             for q, line in zip(live, scores):
                 near = np.flatnonzero((line >= self.scores[q, -1]) & (rows != self.own[q]))
                 if len(near):
@@ -136,14 +136,14 @@ PACK = "pack bigint, query_ids binary, own binary, data binary, best_ids binary,
 FOUND = "own bigint, query_id bigint, vec_id bigint, score bigint, place bigint"
 
 
-def _pack_queries(blocks: DataFrame, width: int, k: int, every: int) -> DataFrame:
+def _pack_queries(blocks: DataFrame, width: int, k: int, every: int, block_rows: int) -> DataFrame:
     """Queries of PACK_BLOCKS neighbouring blocks in one row, with free places for their k best."""
     def pack(rows: pd.DataFrame) -> pd.DataFrame:
         ids, own, data = [], [], []
         for r in rows.itertuples():
             mine = np.flatnonzero(_longs(r.ids) % every == 0)
             ids.append(_longs(r.ids)[mine])
-            own.append(r.block * BLOCK_ROWS + mine)
+            own.append(r.block * block_rows + mine)
             data.append(_longs(r.data, width)[mine])
         n = sum(map(len, ids))
         if not n:
@@ -156,7 +156,7 @@ def _pack_queries(blocks: DataFrame, width: int, k: int, every: int) -> DataFram
     return blocks.select("pack", "block", "ids", "data").groupBy("pack").applyInPandas(pack, PACK)
 
 
-def exact_top_k(vectors: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
+def exact_top_k(vectors: DataFrame, k: int = 10, every: int = 100, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best rows for each row whose vec_id is divisible by `every`.
 
     Scores are inner products of whole numbers; ties go to the smaller vec_id; a row is never its own result, but
@@ -169,7 +169,7 @@ def exact_top_k(vectors: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
     if width is None:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
     width = max(width, 1)
-    blocks = blocks_of(whole, width).withColumn("pack", F.expr(f"block div {PACK_BLOCKS}"))
+    blocks = blocks_of(whole, width, block_rows).withColumn("pack", F.expr(f"block div {PACK_BLOCKS}"))
     count = blocks.count()
 
     # each group of queries first meets the blocks it comes from, which gives it a k-th score to prune by
@@ -177,12 +177,12 @@ def exact_top_k(vectors: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
         if not len(left):
             return left
         pack = left.iloc[0]
-        found = _Search(pack, width, k).look(right)
+        found = _Search(pack, width, k, block_rows).look(right)
         return left.assign(best_ids=[found.ids.tobytes()], best_scores=[found.scores.tobytes()],
                            best_places=[found.places.tobytes()])
 
     packs = materialize(
-        _pack_queries(blocks, width, k, every).groupBy("pack").cogroup(blocks.groupBy("pack")).applyInPandas(home, PACK), "topk-packs")
+        _pack_queries(blocks, width, k, every, block_rows).groupBy("pack").cogroup(blocks.groupBy("pack")).applyInPandas(home, PACK), "topk-packs")
 
     # bounds of all other blocks, a page of blocks and a few packs at a time; only blocks that some query may still need go on
     pages, hands = -(-count // PAGE_BLOCKS), max(1, -(-packs.count() // HAND_PACKS))
@@ -217,7 +217,7 @@ def exact_top_k(vectors: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
         if not len(left):
             return pd.DataFrame(columns=[c.split()[0] for c in FOUND.split(", ")], dtype="int64")
         pack = left.iloc[0]
-        return _Search(pack, width, k).look(right).rows(pack)
+        return _Search(pack, width, k, block_rows).look(right).rows(pack)
 
     found = several.groupBy("pack", "salt").cogroup(work.groupBy("pack", "salt")).applyInPandas(search, FOUND)
     # each task starts from the results of the home blocks, so these come back several times
