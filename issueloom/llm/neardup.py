@@ -6,9 +6,10 @@ holds several components. So a large group of near copies costs one comparison a
 """
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from issueloom.llm.batches import map_texts, mix, shingle_hashes, slices, word_hashes
 from issueloom.llm.components import component_roots
@@ -63,8 +64,12 @@ def _odd_sketches(values: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, n
     return np.packbits(odd, axis=1).view(np.int64), np.bincount(owner[first], minlength=len(starts))
 
 
+def _mark(text: str) -> Column:
+    return F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
+
+
 def signatures(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, node, n_shingles, bands, sketch, samples) per row; bands and sketch are null for a text without words."""
+    """(doc_id, mark, node, n_shingles, bands, sketch, samples) per row; bands and sketch are null for a text without words."""
     def work(batches):
         for batch in batches:
             for low, high, data, offsets in slices(batch.column(1)):
@@ -81,11 +86,12 @@ def signatures(docs: DataFrame, text: str = "text") -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(low, high - low), pa.array([node_key(s) for s in sets], pa.binary()),
                      pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64())),
-                     pa.array(sketches, pa.list_(pa.int64())), pa.array(samples, pa.int32())],
-                    ["doc_id", "node", "n_shingles", "bands", "sketch", "samples"])
+                     pa.array(sketches, pa.list_(pa.int64())), pa.array(samples, pa.int32()),
+                     batch.column(2).slice(low, high - low)],
+                    ["doc_id", "node", "n_shingles", "bands", "sketch", "samples", "mark"])
 
-    return map_texts(docs.select(F.col("doc_id").cast("bigint"), text), work,
-                     f"doc_id bigint, {NODE}, bands array<bigint>, sketch array<bigint>, samples int")
+    return map_texts(docs.select(F.col("doc_id").cast("bigint"), text, _mark(text)), work,
+                     f"doc_id bigint, {NODE}, bands array<bigint>, sketch array<bigint>, samples int, mark binary")
 
 
 def estimate_reaches(flips: Column, samples_a: Column, samples_b: Column) -> Column:
@@ -125,73 +131,95 @@ def _confirm(batches):
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
-    """Pairs (a, b) of nodes whose full shingle sets reach the threshold."""
-    pairs = materialize(pairs, "near-pairs")
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+def _texts_of(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+    """(node, text): one text for each of the nodes in `wanted`."""
     ids = nodes.select("node", "doc_id").join(wanted, "node", "left_semi")
-    found = docs.select(F.col("doc_id").cast("bigint"), F.col(text).alias("text")).join(ids, "doc_id").select("node", "doc_id", "text")
+    found = docs.select(F.col("doc_id").cast("bigint"), F.col(text).alias("text")).join(ids, "doc_id").select("node", "text")
 
     def check(batches):  # a doc_id may stand on several texts: only the node's own one counts
         for batch in batches:
-            mine = [node_key(s) for _, _, d, o in slices(batch.column(2)) for s in shingle_sets_of(d, o)]
+            mine = [node_key(s) for _, _, d, o in slices(batch.column(1)) for s in shingle_sets_of(d, o)]
             same = [a == b for a, b in zip(mine, batch.column(0).to_pylist())]
-            yield batch.filter(pa.array(same, pa.bool_())).select(["node", "text"])
+            yield batch.filter(pa.array(same, pa.bool_()))
+
+    return map_texts(found, check, "node binary, text string").dropDuplicates(["node"])
+
 
-    texts = materialize(map_texts(found, check, "node binary, text string").dropDuplicates(["node"]), "near-texts")
+def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
+    """Pairs (a, b) of nodes whose full shingle sets reach the threshold."""
+    pairs = materialize(pairs, "near-pairs")
+    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    texts = materialize(_texts_of(wanted, nodes, docs, text), "near-texts")
     a, b = [texts.select(F.col("node").alias(side), F.col("text").alias(f"text_{side}")) for side in "ab"]
     return map_texts(pairs.join(b, "b").join(a, "a").sortWithinPartitions("a"), _confirm, "a binary, b binary")
 
 
-def _chunk_pairs(rows):
-    """Pairs inside one part of a bucket: near by their sketches, of different components, neither the bucket's least."""
-    import pandas as pd
+def _shared_links(rows: pd.DataFrame) -> pd.DataFrame:
+    """Links (a, b) that join components, among the nodes of one part of a bucket.
 
-    words = [np.stack(rows.loc[rows["side"] == s, "sketch"].to_numpy()).astype(np.int64).view(np.uint64)
-             if (rows["side"] == s).any() else None for s in (0, 1)]
-    left = rows[rows["side"] == 0]
-    right, other = (rows[rows["side"] == 1], words[1]) if words[1] is not None else (left, words[0])
+    Sketches rule out most pairs, a pair that shares an earlier band is left to that one, and components that a link has
+    joined are not compared again; so what leaves the task is at most one link for each node, however many pairs it holds.
+    """
+    left = np.flatnonzero(rows["side"].to_numpy() == 0)
+    right = np.flatnonzero(rows["side"].to_numpy() == 1)
+    inside = not len(right)
+    right = left if inside else right
     out = []
     if len(left):
-        for i, (node, comp, samples) in enumerate(zip(left["node"], left["comp"], left["samples"])):
-            flips = np.bitwise_count(other ^ words[0][i]).sum(axis=1)
+        nodes, samples = rows["node"].tolist(), rows["samples"].to_numpy()
+        words = np.stack(rows["sketch"].to_numpy()).astype(np.int64).view(np.uint64)
+        bands = np.stack(rows["bands"].to_numpy()).astype(np.int64)
+        earlier = int(np.flatnonzero(bands[0] == rows["band"].iloc[0])[0])
+        sets = [np.frombuffer(x, np.uint64) for x in rows["shingles"]]
+        codes, root = np.unique(np.array([c.hex() for c in rows["comp"]]), return_inverse=True)
+        for i in left.tolist():
+            other = right[right > i] if inside else right
+            other = other[root[other] != root[i]]
+            if not len(other):
+                continue
+            flips = np.bitwise_count(words[other] ^ words[i]).sum(axis=1)
             part = np.maximum(1 - 2 * flips / SKETCH_BITS, 1e-9)
-            shared = (samples + right["samples"].to_numpy() + SKETCH_BITS / 2 * np.log(part)) / 2
-            near = shared >= (PERCENT / 100 - SLACK) * np.maximum(samples, right["samples"].to_numpy())
-            near &= (right["comp"] != comp).to_numpy()
-            if right is left:
-                near[:i + 1] = False
-            out += [(min(node, x), max(node, x)) for x in right["node"].to_numpy()[near]]
+            shared = (samples[i] + samples[other] + SKETCH_BITS / 2 * np.log(part)) / 2
+            near = shared >= (PERCENT / 100 - SLACK) * np.maximum(samples[i], samples[other])
+            near &= ~(bands[other, :earlier] == bands[i, :earlier]).any(axis=1)
+            for j in other[near][np.argsort(-shared[near], kind="stable")].tolist():
+                if root[i] == root[j]:
+                    continue
+                common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if 100 * common >= PERCENT * (len(sets[i]) + len(sets[j]) - common):
+                    out.append((nodes[i], nodes[j]))
+                    root[root == root[j]] = root[i]
     return pd.DataFrame(out, columns=["a", "b"]).astype(object)
 
 
-def _unsettled_pairs(buckets: DataFrame, nodes: DataFrame, comps: DataFrame) -> DataFrame:
-    """Pairs (a, b) left to look at: both in a bucket that still holds several components."""
+def _links_between(buckets: DataFrame, nodes: DataFrame, comps: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+    """Links (a, b) inside the buckets that still hold several components, each bucket in parts of bounded size."""
     placed = buckets.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     split = placed.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).filter(
-        "lo <> hi and n > 2").select("band")
-    members = placed.join(split, "band").filter("node <> leader").select("band", "node", "comp")
-    members = materialize(members.join(nodes.select("node", "sketch", "samples"), "node"), "near-unsettled")
-    counts = members.groupBy("band").count()
-    chunks = F.ceil(F.col("count") / CHUNK)
-    cut = members.join(counts, "band").withColumn("chunks", chunks).withColumn(
-        "own", F.pmod(F.xxhash64("node", F.lit(3)), F.col("chunks")))
-    pairs = cut.withColumn("with", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1))).select(
-        "band", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"),
-        F.when(F.col("own") <= F.col("with"), 0).otherwise(1).alias("side"), "node", "comp", "sketch", "samples")
-    return pairs.groupBy("band", "i", "j").applyInPandas(_chunk_pairs, "a binary, b binary").distinct()
+        "lo <> hi and n > 2").select("band", F.ceil(F.col("n") / CHUNK).alias("chunks"))
+    # the bucket's least node has met all others
+    members = materialize(placed.join(split, "band").filter("node <> leader").select("band", "chunks", "node", "comp"), "near-unsettled")
 
+    def sets(batches):
+        for batch in batches:
+            found = [s.tobytes() for _, _, d, o in slices(batch.column(1)) for s in shingle_sets_of(d, o)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["node", "shingles"])
 
-def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row of `docs`.
+    full = materialize(map_texts(_texts_of(members.select("node").distinct(), nodes, docs, text), sets, "node binary, shingles binary")
+                       .join(nodes.select("node", "bands", "sketch", "samples"), "node"), "near-sets")
+    cut = members.withColumn("own", F.pmod(F.xxhash64("node", F.lit(3)), F.col("chunks")))
+    parts = cut.withColumn("with", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1))).select(
+        "band", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"),
+        F.when(F.col("own") <= F.col("with"), 0).otherwise(1).alias("side"), "node", "comp")
+    return parts.join(full, "node").groupBy("band", "i", "j").applyInPandas(_shared_links, "a binary, b binary")
 
-    Texts without words (null, empty, blank) are linked with nothing. Repeated rows and equal sets share a component.
-    A row without a doc_id cannot lead; it is kept, with its component's id or none. Other columns are not looked at.
-    """
+
+def _labelled(docs: DataFrame, text: str) -> DataFrame:
+    """(doc_id, mark, node, n_shingles, component_id) of every row; `mark` is a digest of the row's text."""
     signed = materialize(signatures(docs, text), "near-signatures")
     full = signed.filter("n_shingles > 0")
     least = full.groupBy("node").agg(F.min("doc_id").alias("doc_id")).filter("doc_id is not null")
-    nodes = materialize(full.join(least, ["node", "doc_id"]).dropDuplicates(["node"]), "near-nodes")
+    nodes = materialize(full.join(least, ["node", "doc_id"]).dropDuplicates(["node"]).drop("mark"), "near-nodes")
 
     exploded = nodes.select("node", "doc_id", F.explode("bands").alias("band"))
     lead = exploded.groupBy("band").agg(F.min(F.struct("doc_id", "node")).alias("l"), F.count("*").alias("n")).filter("n > 1")
@@ -200,14 +228,36 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     stars = buckets.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     links = materialize(confirmed(_sketch_filter(stars, nodes), nodes, docs, text), "near-links")
     comps = component_roots(links).select("node", F.col("root").alias("comp"))
-    more = confirmed(_unsettled_pairs(buckets, nodes, comps), nodes, docs, text)
-    links = materialize(links.unionByName(more), "near-links")
-    roots = component_roots(links)
+    more = _links_between(buckets, nodes, comps, docs, text)
+    roots = component_roots(links.unionByName(more))
     heads = roots.join(nodes.select("node", "doc_id"), "node").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = roots.join(heads, "root").select("node", "component_id")
     final = nodes.select("node", "doc_id").join(named, "node", "left").select(
         "node", F.coalesce("component_id", "doc_id").alias("component_id"))
-    empty = F.when(F.col("n_shingles") == 0, F.col("doc_id"))
-    return signed.select("doc_id", "node", "n_shingles").join(final, "node", "left").select(
-        "doc_id", "n_shingles", F.coalesce(empty, F.when(F.col("n_shingles") > 0, F.col("component_id"))).alias("component_id")
-    ).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    return signed.select("doc_id", "mark", "node", "n_shingles").join(final, "node", "left").withColumn("component_id", component)
+
+
+def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of every row of `docs`.
+
+    Texts without words (null, empty, blank) are linked with nothing. Repeated rows and equal sets share a component.
+    A row without a doc_id leads nothing: it gets the component of the documents with its very set, or none, and is kept
+    only in the second case. Other columns are not looked at.
+    """
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())
+    return _labelled(docs, text).select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
+
+
+def first_of_each(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Rows of `docs`, one of each group of near duplicates: that of the least doc_id, and of its repeated rows one.
+
+    Rows without a doc_id stay unless documents with one have their very set of shingles.
+    """
+    names = docs.columns
+    labelled = _labelled(docs, text)
+    marked = docs.withColumn("_id", F.col("doc_id").cast("bigint")).withColumn("_mark", _mark(text))
+    leads = labelled.filter("doc_id = component_id").groupBy(F.col("doc_id").alias("_id")).agg(F.min("mark").alias("_mark"))
+    kept = marked.join(leads, ["_id", "_mark"], "left_semi").dropDuplicates(["_id", "_mark"]).select(names)
+    loose = labelled.filter("doc_id is null and component_id is null").select(F.col("mark").alias("_mark")).distinct()
+    return kept.unionByName(marked.filter("_id is null").join(loose, "_mark", "left_semi").select(names))
