@@ -43,10 +43,11 @@ def rollup_keywords_of(words: Column) -> Column:
     return F.call_function("filter", F.array_distinct(words), F.expr(f"k -> {rollup_keyword_sql('k')}"))
 
 
-def newest_members(effective: DataFrame, n: int) -> DataFrame:
-    """The first `n` articles of every group; the limit is applied before the shuffle too."""
+def newest_members(effective: DataFrame, n: int | None = None) -> DataFrame:
+    """The articles of every group numbered newest first; with `n` the first ones, cut before the shuffle too."""
     order = Window.partitionBy("group_id").orderBy("order_key")
-    return effective.withColumn("pos", F.row_number().over(order)).filter(F.col("pos") <= n)
+    placed = effective.withColumn("pos", F.row_number().over(order))
+    return placed if n is None else placed.filter(F.col("pos") <= n)
 
 
 def keyword_weights(groups: DataFrame, effective: DataFrame, articles: DataFrame) -> DataFrame:

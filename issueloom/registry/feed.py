@@ -88,9 +88,9 @@ def feed(t):
     return flat_briefs(brief_feed(groups, members, t.articles, feeds, t.as_of, 100)[0])
 
 
-@query("d1_group_articles", q.with_groups("select group_id, article_id, pos::int as pos, title from members m join articles a on a.id = m.article_id where pos <= 8"))
+@query("d1_group_articles", q.with_groups("select group_id, article_id, pos::int as pos, title from members m join articles a on a.id = m.article_id"))
 def group_articles(t):
-    rows = newest_members(t.effective(), 8)
+    rows = newest_members(t.effective())
     return rows.join(t.articles.select(F.col("id").alias("article_id"), "title"), "article_id").select(
         "group_id", "article_id", "pos", "title")
 
@@ -269,8 +269,16 @@ today_words as (select issue, names, unnest(list_distinct(keywords)) as keyword
 @query("e15_today_keywords", q.with_groups("""
 select keyword, count(distinct issue) as issues, count(distinct s) as sources
 from (select keyword, issue, unnest(names) as s from today_words) group by keyword
-having count(distinct issue) >= 1 and count(distinct s) >= 1 order by issues desc, sources desc, keyword limit 16""", BRIEFS, TODAY))
+having count(distinct issue) >= 5 and count(distinct s) >= 3 order by issues desc, sources desc, keyword limit 16""", BRIEFS, TODAY))
 def todays(t):
+    return S.today_keywords(t.briefs()[0], t.as_of - F.expr("INTERVAL 1 DAY"))
+
+
+@query("e15_today_keywords_few", q.with_groups("""
+select keyword, count(distinct issue) as issues, count(distinct s) as sources
+from (select keyword, issue, unnest(names) as s from today_words) group by keyword
+having count(distinct issue) >= 1 and count(distinct s) >= 1 order by issues desc, sources desc, keyword limit 16""", BRIEFS, TODAY))
+def todays_few(t):
     return S.today_keywords(t.briefs()[0], t.as_of - F.expr("INTERVAL 1 DAY"), min_issues=1, min_sources=1)
 
 
@@ -309,7 +317,7 @@ def local_texts(t):
 
 
 @query("b30_article_edits", q.with_articles("""
-select id, case when doc_id % 10 = 0 then 'New title' else title end as title, source,
+select id, case when doc_id % 10 = 0 then 'New  title' else title end as title, source,
   case when doc_id % 10 = 0 then '' when doc_id % 10 = 5 then 'Bold' else author end as author,
   case when doc_id % 10 = 5 then 'kept & short' else summary end as summary,
   case when doc_id % 10 = 5 then true else is_excluded end as is_excluded,
@@ -321,9 +329,7 @@ def edited(t):
         F.lit("").alias("source"), F.when(d % 10 == 0, F.lit("")).otherwise(F.lit("<i>Bold</i>")).alias("author"),
         F.when(d % 10 == 5, F.lit("kept &amp; short")).alias("summary"), F.when(d % 10 == 5, F.lit(True)).alias("is_excluded"))
     out = E.apply_article_edits(t.articles, some, t.as_of)
-    return out.select("id", F.regexp_replace("title", " +$", "").alias("title"), "source", "author", "summary", "is_excluded",
-                      epoch("updated_at").alias("updated")).withColumn(
-        "title", F.when(F.col("title").rlike("^New  ?title$"), F.lit("New title")).otherwise(F.col("title")))
+    return out.select("id", "title", "source", "author", "summary", "is_excluded", epoch("updated_at").alias("updated"))
 
 
 @query("b31_group_edits", q.with_groups("""

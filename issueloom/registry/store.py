@@ -60,16 +60,27 @@ def summary_upsert(t):
 
 
 @query("a10_newest_summaries", """
-select strftime(ts, '%Y-%m-%d') as date, max(floor(epoch(ts))::bigint) as generated from events where event_type = 'signup'
+select strftime(ts, '%Y-%m-%d') as date, max(floor(epoch(ts))::bigint) as generated from events
 group by 1""")
 def newest_summaries(t):
-    rows = t.event_log.filter("type = 'signup'").select(
+    rows = t.event_log.select(
         F.date_format(F.convert_timezone(None, F.lit("UTC"), F.col("created_at").cast("timestamp_ntz")), "yyyy-MM-dd")
         .alias("date"), F.col("created_at").alias("generated_at"))
     kept = store.upsert_summaries(rows, rows.limit(0))
     return store.newest_summaries(kept).select("date", epoch("generated_at").alias("generated"))
 
 
+@query("a10_summary_by_key", """
+select strftime(ts, '%Y-%m-%d') as date, max(floor(epoch(ts))::bigint) as generated from events
+where strftime(ts, '%Y-%m-%d') = '2024-01-05' group by 1""")
+def one_summary(t):
+    rows = t.event_log.select(
+        F.date_format(F.convert_timezone(None, F.lit("UTC"), F.col("created_at").cast("timestamp_ntz")), "yyyy-MM-dd")
+        .alias("date"), F.col("created_at").alias("generated_at"))
+    return store.summary_by_key(store.upsert_summaries(rows, rows.limit(0)), "2024-01-05").select(
+        "date", epoch("generated_at").alias("generated"))
+
+
 @query("a12_article_upsert", q.with_articles("""
 select id, case when doc_id % 5 = 0 then 'New ' || title else title end as title,
   case when doc_id % 5 = 0 then '' else content end as content from articles"""))
