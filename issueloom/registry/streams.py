@@ -16,10 +16,10 @@ def event_stream(t):
         "at", F.to_timestamp(F.convert_timezone(F.lit("UTC"), F.current_timezone(), F.col("ts"))))
 
 
-def finished(t, stream, mode="complete"):
+def finished(t, stream, keys):
     base = f"{run_folder(t.spark)}/stream-{uuid.uuid4().hex}"
-    S.run_to_table(stream, f"{base}/table", f"{base}/state", mode).awaitTermination()
-    return t.spark.read.parquet(f"{base}/table")
+    S.run_to_table(stream, f"{base}/table", f"{base}/state", keys).awaitTermination()
+    return S.latest_snapshot(t.spark, f"{base}/table", stream.schema)
 
 
 @query("k2_stream_dedupe", "select distinct user_id from events")
@@ -34,7 +34,7 @@ def deduped(t):
 @query("k3_stream_daily_counts", f"""
 select {q.korea_date('ts')} as day, event_type, count(*) as arrivals from events group by all""")
 def daily(t):
-    out = finished(t, S.daily_counts(event_stream(t), "at", ["event_type"]))
+    out = finished(t, S.daily_counts(event_stream(t), "at", ["event_type"]), ["w", "event_type"])
     day = F.to_date(F.convert_timezone(None, F.lit("Asia/Seoul"), F.col("w.start").cast("timestamp_ntz")))
     return out.select(day.alias("day"), "event_type", "arrivals")
 
@@ -42,7 +42,7 @@ def daily(t):
 @query("k4_stream_week_counts", f"""
 select ({q.korea_date('ts')} - i::int + 6)::date as last_day, count(*) as arrivals from events, (select unnest(range(7)) as i) group by all""")
 def weekly(t):
-    out = finished(t, S.week_counts(event_stream(t), "at", []))
+    out = finished(t, S.week_counts(event_stream(t), "at", []), ["w"])
     end = F.convert_timezone(None, F.lit("Asia/Seoul"), F.col("w.end").cast("timestamp_ntz"))
     return out.select(F.date_sub(F.to_date(end), 1).alias("last_day"), "arrivals")
 
@@ -51,15 +51,17 @@ def weekly(t):
 select user_id, floor(epoch(max(ts)))::bigint as last_seen from events group by user_id
 having max(ts) < timestamp '2024-01-31' - interval 12 hours""")
 def stale(t):
-    seen = finished(t, S.last_seen(event_stream(t), "at", "user_id"))
+    seen = finished(t, S.last_seen(event_stream(t), "at", "user_id"), ["user_id"])
     return S.stale_sources(seen, t.as_of).select("user_id", epoch("last_seen").alias("last_seen"))
 
 
-@query("k1_stream_ingest")
+@query("k1_stream_ingest", q.with_articles(
+    "select id, title, source, floor(epoch(published_at))::bigint as published, 1706659200::bigint as seen from articles"))
 def ingested(t):
     """The article table landed as files, streamed into a store."""
     base = f"{run_folder(t.spark)}/stream-{uuid.uuid4().hex}"
     t.articles.drop("doc_id", "lang").write.parquet(f"{base}/landing")
     source = S.landed(t.spark, f"{base}/landing")
-    S.stream_ingest(source, f"{base}/store", f"{base}/state").awaitTermination()
-    return S.latest_snapshot(t.spark, f"{base}/store").select("id", "title", "source", epoch("published_at").alias("published"))
+    S.stream_ingest(source, f"{base}/store", f"{base}/state", as_of=t.as_of).awaitTermination()
+    return S.latest_snapshot(t.spark, f"{base}/store").select(
+        "id", "title", "source", epoch("published_at").alias("published"), epoch("updated_at").alias("seen"))

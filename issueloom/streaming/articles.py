@@ -1,7 +1,5 @@
 """Streams of arriving articles and events."""
 
-import os
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
@@ -17,24 +15,36 @@ def landed(spark: SparkSession, path: str, schema: StructType = ARTICLES, patter
             .option("maxFilesPerTrigger", files).parquet(path))
 
 
-def stream_ingest(source: DataFrame, store: str, checkpoint: str, keep_exclusion: bool = False) -> StreamingQuery:
+def stream_ingest(source: DataFrame, store: str, checkpoint: str, keep_exclusion: bool = False, as_of: Column | None = None
+                  ) -> StreamingQuery:
     """Merge each micro-batch into the article store under `store`.
 
-    A batch writes a snapshot named by its number and reads the one before, so a replayed batch writes the same
-    snapshot again.
+    A batch writes a snapshot named by its number and reads the one before, so with `as_of` given a replayed batch writes
+    the same snapshot again. Snapshots before that one are removed.
     """
     def merge(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        before = [int(name) for name in snapshots(spark, store) if int(name) < batch_id]
-        stored = (spark.read.schema(ARTICLES).parquet(f"{store}/{max(before)}") if before
-                  else spark.createDataFrame([], ARTICLES))
-        merged = merge_ingest(stored, batch, F.current_timestamp(), keep_exclusion=keep_exclusion)
+        stored = before(batch.sparkSession, store, batch_id, ARTICLES)
+        merged = merge_ingest(stored, batch, F.current_timestamp() if as_of is None else as_of, keep_exclusion=keep_exclusion)
         merged.write.mode("overwrite").parquet(f"{store}/{batch_id}")
+        prune(batch.sparkSession, store, batch_id)
 
     return (source.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 
 
+def before(spark: SparkSession, store: str, batch_id: int, schema: StructType) -> DataFrame:
+    """The newest snapshot older than `batch_id`, or no rows."""
+    older = [n for n in snapshots(spark, store) if int(n) < batch_id]
+    return spark.read.schema(schema).parquet(f"{store}/{older[-1]}") if older else spark.createDataFrame([], schema)
+
+
+def prune(spark: SparkSession, store: str, batch_id: int) -> None:
+    """Remove the snapshots that not even a replay of `batch_id` reads."""
+    for name in [n for n in snapshots(spark, store) if int(n) < batch_id][:-1]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{store}/{name}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def snapshots(spark: SparkSession, store: str) -> list[str]:
     """Numbers of the finished snapshots under `store`, on whatever file system it is."""
     path = spark._jvm.org.apache.hadoop.fs.Path(store)
@@ -46,8 +56,8 @@ def snapshots(spark: SparkSession, store: str) -> list[str]:
     return sorted((n for n in done if n.isdigit()), key=int)
 
 
-def latest_snapshot(spark: SparkSession, store: str) -> DataFrame:
-    return spark.read.schema(ARTICLES).parquet(os.path.join(store, snapshots(spark, store)[-1]))
+def latest_snapshot(spark: SparkSession, store: str, schema: StructType = ARTICLES) -> DataFrame:
+    return spark.read.schema(schema).parquet(f"{store}/{snapshots(spark, store)[-1]}")
 
 
 def stream_dedupe(source: DataFrame, key: str = "id", time: str = "published_at", delay: str = "40 days") -> DataFrame:
@@ -76,10 +86,18 @@ def stale_sources(seen: DataFrame, as_of: Column, hours: int = 12) -> DataFrame:
     return seen.filter(F.col("last_seen") < as_of - F.expr(f"INTERVAL {hours} HOURS"))
 
 
-def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "complete") -> StreamingQuery:
-    """Run an aggregate stream over what has landed; the newest result replaces the table at `path`."""
+def run_to_table(stream: DataFrame, path: str, checkpoint: str, keys: list[str], mode: str = "update") -> StreamingQuery:
+    """Run an aggregate stream over what has landed into snapshots under `path`: changed rows replace those of equal `keys`.
+
+    In update and append mode the watermark frees state that can no longer change; what it counted stays in the table.
+    """
+    schema = stream.schema
+
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
+        spark = batch.sparkSession
+        kept = before(spark, path, batch_id, schema).join(batch.select(*keys), keys, "left_anti")
+        kept.select(*batch.columns).unionByName(batch).write.mode("overwrite").parquet(f"{path}/{batch_id}")
+        prune(spark, path, batch_id)
 
     return (stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
