@@ -61,6 +61,9 @@ def rank_candidates(candidates: DataFrame) -> DataFrame:
     return ranked.withColumn("index", (F.col("rank") - 1).cast("int")).drop("rank", "_order")
 
 
+FIRST_ISSUES = 512
+
+
 def topic_match(text: Column, subjects: list[str], events: list[str]) -> Column:
     """Any subject word together with any event word."""
     cleaned = F.lower(clean_text(text))
@@ -129,11 +132,16 @@ def rank_issues(issues: DataFrame) -> DataFrame:
     return rank_rows(issues.withColumn("_order", order), "period", [F.asc("_order")]).drop("_order")
 
 
-def dedupe_issues(issues: DataFrame, first_batch: int | None = None) -> DataFrame:
-    """Issues that no better kept issue of their period is similar to."""
+def dedupe_issues(issues: DataFrame, first_batch: int = FIRST_ISSUES) -> DataFrame:
+    """Issues that no better kept issue of their period is similar to.
+
+    Issues of one topic, or that share common words, are all similar to each other. Of each such group at most one is kept,
+    and from the second batch on issues first meet the kept ones only; so all pairs of a group arise in its first
+    `first_batch` issues at most.
+    """
     ranked = materialize(rank_issues(issues), "ranked")
     nodes = materialize(rarest_first(issue_keywords(ranked)), "issue-keywords")
-    kept = greedy_select(nodes, similar_issues, *([first_batch] if first_batch else []))
+    kept = greedy_select(nodes, lambda probe, index: similar_issues(probe, index), first_batch)
     return ranked.join(kept.select(F.col("window").alias("period"), F.col("id").alias("issue_id")),
                        ["period", "issue_id"], "left_semi").drop("rank")
 

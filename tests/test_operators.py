@@ -143,3 +143,34 @@ def test_repeated_ids_keep_the_row_updated_last(spark):
     new = rows.filter("id = 'a'").withColumns({"title": F.lit("old"), "updated_at": at(5)}).unionByName(
         rows.filter("id = 'a'").withColumns({"title": F.lit("new"), "updated_at": at(9)}))
     assert {r.id: r.title for r in upsert_articles(rows, new).collect()} == {"a": "new", "b": "y"}
+
+
+def test_a_topic_of_thousands_makes_few_pairs(spark, monkeypatch):
+    from issueloom.operators import issues as I
+    from issueloom.rules import TOPIC_RULES
+
+    _, subjects, events = TOPIC_RULES[0]
+    n, found, plain = 5000, [], I.similar_issues
+
+    def counted(probe, index):
+        edges = plain(probe, index)
+        found.append(edges.count())
+        return edges
+    monkeypatch.setattr(I, "similar_issues", counted)
+    rows = spark.range(n).select(
+        F.lit("2024-01-01").alias("period"), F.format_string("i%05d", "id").alias("issue_id"),
+        F.concat(F.lit(f"{subjects[0]} {events[0]} "), F.sha2(F.col("id").cast("string"), 256)).alias("title"), F.lit("").alias("summary"),
+        F.array().cast("array<string>").alias("keywords"), F.lit(False).alias("low"), F.lit(1).alias("parts"),
+        F.col("id").cast("int").alias("selection_score"), F.array(F.lit("s")).alias("sources"), F.lit(1).alias("articles"),
+        F.timestamp_seconds(F.lit(0)).alias("latest_published_at"))
+    assert [r.issue_id for r in I.dedupe_issues(rows).collect()] == [f"i{n - 1:05d}"]
+    assert sum(found) <= I.FIRST_ISSUES**2 / 2 + 2 * n
+
+
+def test_both_sides_of_the_ranking_limit(spark, monkeypatch):
+    from issueloom.operators import selection
+
+    rows = spark.createDataFrame([(i % 3, (i * 37) % 101, i) for i in range(300)], "w int, v int, id int")
+    want = sorted(map(tuple, selection.rank_rows(rows, "w", [F.asc("v"), F.asc("id")]).select("w", "id", "rank").collect()))
+    monkeypatch.setattr(selection, "PLAIN_WINDOW_ROWS", 5)
+    assert sorted(map(tuple, selection.rank_rows(rows, "w", [F.asc("v"), F.asc("id")]).select("w", "id", "rank").collect())) == want
