@@ -78,14 +78,6 @@ def publisher(url: Column) -> Column:
     return out.otherwise(name)
 
 
-def publisher_guide(url: Column) -> Column:
-    name = F.replace(host(url), F.lit("www."), F.lit(""))
-    out = F.when(name.isNull(), F.lit(None).cast("string"))
-    for part, _, guide in PUBLISHER_RULES:
-        out = out.when(name.contains(part), F.lit(guide))
-    return out
-
-
 def source_from_url(url: Column) -> Column:
     """Short source label of a link, else the first host label in capitals."""
     name = F.regexp_replace(host(url), r"^www\.", "")

@@ -71,24 +71,6 @@ def parse_reply(text: Column) -> Column:
     return F.from_json(F.regexp_extract(text, r"(?s)\{.*\}", 0), REPLY)
 
 
-def _merge_texts(rows: DataFrame, texts: DataFrame, key: str) -> DataFrame:
-    """Replace `summary` of the first row per (date, key ignoring case) by the last non-blank text for it."""
-    given = (texts.filter(~is_blank(F.col(key)) & ~is_blank(F.col("text")))
-             .groupBy("date", F.lower(key).alias("_key")).agg(F.max_by(strip(F.col("text")), "pos").alias("_text")))
-    firsts = rows.filter(~is_blank(F.col(key))).groupBy("date", F.lower(key).alias("_key")).agg(F.min("place").alias("place"))
-    hit = given.join(firsts, ["date", "_key"]).select("date", "place", "_text")
-    return rows.join(hit, ["date", "place"], "left").withColumn("summary", F.coalesce("_text", "summary")).drop("_text")
-
-
-def merge_category_text(categories: DataFrame, texts: DataFrame) -> DataFrame:
-    """`categories` (date, place, category, summary) with texts (date, pos, category, text) laid over."""
-    return _merge_texts(categories, texts, "category")
-
-
-def merge_issue_text(issues: DataFrame, texts: DataFrame) -> DataFrame:
-    return _merge_texts(issues, texts, "title")
-
-
 def merge_reply(summaries: DataFrame, replies: DataFrame, provider: str, as_of: Column) -> DataFrame:
     """Lay replies (date, reply, model) of an external writer over stored summaries; others stay as they are."""
     r = replies.select("date", parse_reply(F.col("reply")).alias("r"), F.col("model").alias("_model"))

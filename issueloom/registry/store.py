@@ -1,14 +1,17 @@
 """Scans, worklists, upserts and duplicate removal."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from issueloom.functions.text import is_blank
 from issueloom.operators.categorize import article_category
 from issueloom.operators.dedupe import effective_articles
 from issueloom.operators.embedding import clusterable
-from issueloom.operators.metrics import backfill_report
+from issueloom.operators.metrics import backfill_report, image_backfill_report
 from issueloom.registry import sql as q
 from issueloom.registry.base import AS_OF, epoch, query
+from issueloom.session import run_folder
 from issueloom.sources import store
 from issueloom.sources.feeds import active_articles, valid_items
 from issueloom.sources.tables import LATIN_CATEGORY_RULES
@@ -221,3 +224,19 @@ def backfill(t):
     return backfill_report(before, after, 50)
 
 
+@query("e14_image_backfill_report", q.with_articles("""
+select 50 as requested, least(50, count(*) filter (image_url = ''))::int as processed,
+  count(*) filter (image_url = '') as before_missing, count(*) filter (image_url = '' and doc_id % 8 <> 0) as after_missing,
+  count(*) filter (image_url <> '' or doc_id % 8 = 0) as with_image from articles"""))
+def image_backfill(t):
+    before = t.articles
+    after = before.withColumn("image_url", F.when(F.col("doc_id") % 8 == 0, F.lit("https://i.example/x.png")).otherwise(F.col("image_url")))
+    return image_backfill_report(before, after, 50)
+
+
+@query("a14_article_files", q.with_articles("select id, title, url, content from articles"))
+def article_files(t):
+    """Articles written and read back, by day."""
+    path = f"{run_folder(t.spark)}/articles-{uuid.uuid4().hex}"
+    store.write_articles(t.articles.drop("doc_id", "lang"), path)
+    return store.read_articles(t.spark, path).select("id", "title", "url", "content")
