@@ -1,6 +1,7 @@
 """From documents to training tokens: each stage is written as Parquet and read again as the next one's documents."""
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
 from issueloom.llm import bpe, decontam, neardup, pii, quality
 from issueloom.session import materialize
@@ -33,9 +34,9 @@ def no_personal_data(spark, docs, sf_dir):
 
 
 def tokens(spark, docs, sf_dir):
-    """All documents with the ids of their tokens and how many there are."""
+    """All documents with the ids of their tokens and how many there are; columns of these names are replaced."""
     coded = bpe.encode(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
-    return coded.selectExpr(*docs.columns, "token_ids", "cast(size(token_ids) as bigint) as n_tokens")
+    return coded.withColumn("n_tokens", F.size("token_ids").cast("bigint"))
 
 
 STAGES = [("quality", good_quality), ("near_duplicates", one_of_each_group), ("decontamination", no_benchmark_items),

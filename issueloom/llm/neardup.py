@@ -11,7 +11,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from issueloom.llm.batches import map_texts, mix, shingle_hashes, slices, word_hashes
+from issueloom.llm.batches import map_texts, mix, shingle_hashes, slices, unused, word_hashes
 from issueloom.llm.components import component_roots
 from issueloom.session import materialize
 
@@ -254,10 +254,10 @@ def first_of_each(docs: DataFrame, text: str = "text") -> DataFrame:
 
     Rows without a doc_id stay unless documents with one have their very set of shingles.
     """
-    names = docs.columns
+    names, own, mark = docs.columns, unused("_id", docs), unused("_mark", docs)
     labelled = _labelled(docs, text)
-    marked = docs.withColumn("_id", F.col("doc_id").cast("bigint")).withColumn("_mark", _mark(text))
-    leads = labelled.filter("doc_id = component_id").groupBy(F.col("doc_id").alias("_id")).agg(F.min("mark").alias("_mark"))
-    kept = marked.join(leads, ["_id", "_mark"], "left_semi").dropDuplicates(["_id", "_mark"]).select(names)
-    loose = labelled.filter("doc_id is null and component_id is null").select(F.col("mark").alias("_mark")).distinct()
-    return kept.unionByName(marked.filter("_id is null").join(loose, "_mark", "left_semi").select(names))
+    marked = docs.withColumn(own, F.col("doc_id").cast("bigint")).withColumn(mark, _mark(text))
+    leads = labelled.filter("doc_id = component_id").groupBy(F.col("doc_id").alias(own)).agg(F.min("mark").alias(mark))
+    kept = marked.join(leads, [own, mark], "left_semi").dropDuplicates([own, mark]).select(names)
+    loose = labelled.filter("doc_id is null and component_id is null").select(F.col("mark").alias(mark)).distinct()
+    return kept.unionByName(marked.filter(F.col(own).isNull()).join(loose, mark, "left_semi").select(names))

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from issueloom.llm.batches import map_texts, slices, word_hashes
+from issueloom.llm.batches import map_texts, slices, unused, word_hashes
 
 PASSAGE_WORDS = 64
 TRAIN_ROWS = 2000  # labelled documents that are learnt from at most
@@ -173,4 +173,5 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows of `docs` that the classifier does not reject."""
-    return score(docs, train(docs, labels), out="_quality").filter("_quality >= 0.5").select(docs.columns)
+    out = unused("_quality", docs)
+    return score(docs, train(docs, labels), out=out).filter(F.col(out) >= 0.5).select(docs.columns)

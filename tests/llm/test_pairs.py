@@ -58,6 +58,7 @@ def test_near_duplicates(spark, monkeypatch, chunk):
 def test_first_of_each(spark):
     rows = near_rows()
     out = neardup.first_of_each(with_clashes(documents(spark, rows)))
+    assert {(r._id, r._mark, r.node) for r in out.collect()} == {("clash",) * 3}
     kept = [r.doc_id for r in out.collect()]
     want = {r.doc_id for r in neardup.near_duplicates(documents(spark, rows)).filter("kept and doc_id is not null").collect()}
     assert sorted(i for i in kept if i is not None) == sorted(want) and kept.count(None) == 2

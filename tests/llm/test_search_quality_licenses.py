@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from issueloom.llm import bpe, decontam, licenses, neardup, pii, quality, topk
@@ -60,7 +61,9 @@ def test_quality_on_held_out_rows(spark):
     assert all(r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in got)
     test = [(r.predicted, int(r.doc_id % 3 != 0)) for r in got if r.held_out and (r.doc_id or 0) > 5]
     assert len(test) > 150 and sum(p == y for p, y in test) >= 0.97 * len(test)
-    kept = quality.good_documents(docs, table)
+    kept = quality.good_documents(docs.withColumn("_quality", F.lit("clash")), table)
+    assert {r._quality for r in kept.collect()} == {"clash"}
+    kept = kept.drop("_quality")
     assert kept.columns == docs.columns and 350 < kept.count() < 450
     assert {r.score for r in quality.score_documents(docs, table.limit(0)).collect()} == {0.5}
     assert quality.score_documents(docs.limit(0), table).count() == 0
