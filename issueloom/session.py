@@ -38,7 +38,8 @@ def materialize(df: DataFrame, label: str = "step") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{run_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    # zstd works in streams; the default codec holds direct buffers outside the heap until a garbage collection comes by
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
