@@ -15,7 +15,6 @@ BLOCK starts, whose strings all hold one common core.
 import hashlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
@@ -67,12 +66,16 @@ def anchors(data: np.ndarray, offsets: np.ndarray):
     return row[starts[first]], place[first], starts[first], starts[last], words
 
 
-NARROW = "did bigint, tkey bigint, lead bigint, core bigint, hull bigint, spot bigint"
+NARROW = ("did bigint, tkey bigint, lead bigint, core bigint, hull bigint, spot bigint, "
+          "more array<struct<did: bigint, tkey: bigint, spot: bigint>>")
 _CORE = LENGTH - BLOCK + 1
 
 
 def _sampled_suffixes(batches):
-    """One row for each anchor and block of starts. `spot` packs the anchor's place, its least and its most start before it."""
+    """One row for each anchor and block of starts. `spot` packs the anchor's place, its least and its most start before it.
+
+    Equal ones of a batch, as in a text that repeats itself, are one row with `more` places.
+    """
     digest = xxhash.xxh3_64_intdigest
     for batch in batches:
         for low, high, data, offsets in slices(batch.column(2)):
@@ -88,12 +91,21 @@ def _sampled_suffixes(batches):
             cores = [digest(raw[s:s + _CORE]) for s in core.tolist()]
             hulls = [digest(raw[s:e]) for s, e in zip((place - b).tolist(), (place - a + LENGTH).tolist())]
             hulls = np.array(hulls, np.uint64) ^ mix((a * WINDOW + b).astype(np.uint64))
-            columns = [np.array(cores, np.uint64).view(np.int64), hulls.view(np.int64),
-                       ((place - offsets[row]) << 16) | (a << 8) | b]
+            cores = np.array(cores, np.uint64)
+            spot = ((place - offsets[row]) << 16) | (a << 8) | b
             lead = (words[core] ^ np.uint64(1 << 63)).view(np.int64) if len(core) else core
-            at = pa.array(low + row)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(lead), *map(pa.array, columns)],
-                                             ["did", "tkey", "lead", "core", "hull", "spot"])
+            kind, count = np.unique(cores * np.uint64(3) ^ mix(hulls), return_inverse=True, return_counts=True)[1:]
+            order = np.argsort(kind, kind="stable")
+            heads = np.append(0, np.cumsum(count))[:len(count)]
+            first, rest = order[heads], np.delete(order, heads)
+            at, others = pa.array(low + row[first]), pa.array(low + row[rest])
+            more = pa.ListArray.from_arrays(
+                pa.array(np.append(0, np.cumsum(count - 1)).astype(np.int32)), pa.StructArray.from_arrays(
+                    [batch.column(0).take(others), batch.column(1).take(others), pa.array(spot[rest])], ["did", "tkey", "spot"]))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(at), batch.column(1).take(at), pa.array(lead[first]), pa.array(cores[first].view(np.int64)),
+                 pa.array(hulls[first].view(np.int64)), pa.array(spot[first]), more],
+                ["did", "tkey", "lead", "core", "hull", "spot", "more"])
 
 
 def multikey_order(words: np.ndarray) -> np.ndarray:
@@ -123,48 +135,61 @@ def _core_runs(cores: list[bytes]) -> list[np.ndarray]:
     return np.split(order, split)
 
 
-def _compare_bucket(rows: pd.DataFrame) -> pd.DataFrame:
-    """(did, tkey, start, stop) of repeats among the suffixes of one bucket, which share their leading bytes and core digest."""
-    places, out = rows["spot"].to_numpy() >> 16, []
-    near, far = (rows["spot"].to_numpy() >> 8) & 255, rows["spot"].to_numpy() & 255
-    hulls = rows["bytes"].tolist()
-    base = near // BLOCK * BLOCK
-    for run in _core_runs([h[f - c:f - c + _CORE] for h, f, c in zip(hulls, far, base)]):
-        if len(run) < 2:
+def _compare_bucket(hulls: list[bytes], near: list[int], far: list[int]):
+    """(member, least back, most back): strings that start so far before the anchors of a bucket and occur twice in it.
+
+    Members share their leading bytes and the digest of their core; `back` counts bytes from a string's start to its anchor.
+    """
+    base = near[0] // BLOCK * BLOCK
+    for run in _core_runs([h[f - base:f - base + _CORE] for h, f in zip(hulls, far)]):
+        members = run.tolist()
+        if len(members) < 2:
             continue
-        for back in range(int(near[run].min()), int(far[run].max()) + 1):
+        backs: dict[int, list[int]] = {}
+        for back in range(min(near[i] for i in members), max(far[i] for i in members) + 1):
             seen: dict[bytes, int] = {}
             twice = set()
-            for i in run.tolist():
+            for i in members:
                 if near[i] <= back <= far[i]:
                     at = far[i] - back
                     other = seen.setdefault(hulls[i][at:at + LENGTH], i)
                     if other != i:
                         twice.update((other, i))
-            out += [(i, places[i] - back) for i in twice]
-    if not out:
-        return pd.DataFrame({c: pd.Series(dtype="int64") for c in ("did", "tkey", "start", "stop")})
-    found = pd.DataFrame(out, columns=["i", "start"]).sort_values(["i", "start"])
-    fresh = (found["i"].diff() != 0) | (found["start"].diff() != 1)
-    spans = found.groupby(fresh.cumsum()).agg(i=("i", "first"), start=("start", "first"), stop=("start", "last"))
-    return pd.DataFrame({"did": rows["did"].to_numpy()[spans["i"]], "tkey": rows["tkey"].to_numpy()[spans["i"]],
-                         "start": spans["start"].to_numpy(np.int64), "stop": spans["stop"].to_numpy(np.int64) + LENGTH})
+            for i in twice:
+                backs.setdefault(i, []).append(back)
+        for i, found in backs.items():
+            low = found[0]
+            for one, following in zip(found, [*found[1:], None]):
+                if following != one + 1:
+                    yield i, low, one
+                    low = following
 
 
 def _buckets(batches):
-    """Stream the sorted rows of a partition, one run of equal (lead, core) at a time."""
-    held = None
-    for rows in batches:
-        rows = rows if held is None else pd.concat([held, rows], ignore_index=True)
-        keys = rows[["lead", "core"]].to_numpy()
-        cut = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
-        ends = [0, *cut.tolist()]
-        done = [_compare_bucket(rows.iloc[a:b].reset_index(drop=True)) for a, b in zip(ends[:-1], ends[1:]) if b - a > 1]
-        held = rows.iloc[ends[-1]:].reset_index(drop=True)
-        if done:
-            yield pd.concat(done)
-    if held is not None and len(held) > 1:
-        yield _compare_bucket(held)
+    """(did, tkey, start, stop) of repeats, from the sorted rows of a partition: one run of equal (lead, core) at a time."""
+    names = ["did", "tkey", "lead", "core", "spot", "bytes"]
+    held: list[tuple] = []
+
+    def compare(rows):
+        spots = [r[4] for r in rows]
+        for i, low, high in _compare_bucket([r[5] for r in rows], [s >> 8 & 255 for s in spots], [s & 255 for s in spots]):
+            place = spots[i] >> 16
+            yield rows[i][0], rows[i][1], place - high, place - low + LENGTH
+
+    def packed(out):
+        columns = list(zip(*out)) if out else [()] * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["did", "tkey", "start", "stop"])
+
+    for batch in batches:
+        out = []
+        for row in zip(*(batch.column(batch.schema.names.index(n)).to_pylist() for n in names)):
+            if held and held[0][2:4] != row[2:4]:
+                if len(held) > 1:
+                    out += compare(held)
+                held = []
+            held.append(row)
+        yield packed(out)
+    yield packed(list(compare(held)) if len(held) > 1 else [])
 
 
 def _fetch(batches):
@@ -218,17 +243,19 @@ def repeated_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     sampled = map_texts(keyed.select("did", "tkey", "text"), _sampled_suffixes, NARROW)
     sorted_ = sampled.repartitionByRange("lead", "core")
     same = Window.partitionBy("lead", "core", "hull")
-    counted = sorted_.withColumn("copies", F.count("*").over(same)).withColumn(
+    held = F.size("more") + 1
+    counted = sorted_.withColumn("copies", F.sum(held).over(same)).withColumn(
         "turn", F.row_number().over(same.orderBy("did", "tkey", "spot"))).withColumn(
-        "all", F.count("*").over(Window.partitionBy("lead", "core")))
+        "all", F.sum(held).over(Window.partitionBy("lead", "core")))
     repeats = materialize(counted.filter("all > 1"), "suffix-repeats")
     place, near, far = F.expr("spot >> 16"), F.expr("(spot >> 8) & 255"), F.expr("spot & 255")
-    settled = repeats.filter("copies > 1").select("did", "tkey", (place - far).alias("start"), (place - near + LENGTH).alias("stop"))
+    settled = repeats.filter("copies > 1").select(F.explode(F.concat(F.array(F.struct("did", "tkey", "spot")), "more")).alias("m")).select(
+        "m.*").select("did", "tkey", (place - far).alias("start"), (place - near + LENGTH).alias("stop"))
     open_ = repeats.filter("all > copies and turn = 1").select("did", "tkey", "lead", "core", "spot")
     listed = open_.groupBy("did", "tkey").agg(F.collect_list(F.struct("lead", "core", "spot")).alias("spots"))
     fetched = map_texts(keyed.join(listed, ["did", "tkey"]).select("did", "tkey", "text", "spots"), _fetch, "did bigint, tkey bigint, lead bigint, core bigint, spot bigint, bytes binary")
     fetched = materialize(fetched, "suffix-bytes")
-    compared = fetched.repartitionByRange("lead", "core").sortWithinPartitions("lead", "core").mapInPandas(
+    compared = fetched.repartitionByRange("lead", "core").sortWithinPartitions("lead", "core").mapInArrow(
         _buckets, "did bigint, tkey bigint, start bigint, stop bigint")
     return settled.unionByName(compared)
 
