@@ -124,6 +124,25 @@ def test_repeated_passages(spark):
     assert passages.repeated_passages(documents(spark, [])).count() == 0
 
 
+def covered_words(row):
+    return {w for span in row.passages.split(",") for w in range(*map(int, span.split("-")))} if row else set()
+
+
+def test_passages_that_stand_twice_in_a_document(spark):
+    rows, want = [], {}
+    for i in range(20):
+        passage, size = words(500 + i, 50 + i), 50 + i
+        double = f"{words(600 + i, 80)} {passage} {words(700 + i, 80)} {passage} {words(800 + i, 30)}"
+        single = f"{words(900 + i, 40)} {passage}"
+        pair = [double, single] if i % 2 else [single, double]
+        for doc, text in zip((100 + 2 * i, 101 + 2 * i), pair):
+            rows.append((doc, text))
+            want[doc] = [(80, 80 + size), (160 + size, 160 + 2 * size)] if text is double else [(40, 40 + size)]
+    got = {r.doc_id: r for r in passages.repeated_passages(documents(spark, rows)).collect()}
+    for doc, spans in want.items():
+        assert {w for a, b in spans for w in range(a, b)} <= covered_words(got.get(doc)), doc
+
+
 def test_compact_windows_are_the_wide_nodes_of_the_tree():
     r = np.random.default_rng(8)
     for n in (0, 3, 10, 60, 200):
