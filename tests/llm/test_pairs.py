@@ -143,6 +143,22 @@ def test_passages_that_stand_twice_in_a_document(spark):
         assert {w for a, b in spans for w in range(a, b)} <= covered_words(got.get(doc)), doc
 
 
+@pytest.mark.parametrize("chunk", [2048, 2])
+def test_passages_behind_a_first_document_that_has_only_a_part(spark, monkeypatch, chunk):
+    monkeypatch.setattr(passages, "CHUNK", chunk)
+    rows, want = [], {}
+    for i in range(40):
+        passage, base = words(1500 + i, 52), 100 + 10 * i
+        line = " ".join(passage.split()[4:46])
+        rows += [(base + k, f"{words(2000 + 10 * i + k, 30)} {line} {words(3000 + 10 * i + k, 30)}") for k in range(2)]
+        rows += [(base + k, f"{words(2000 + 10 * i + k, 30 + k)} {passage} {words(3000 + 10 * i + k, 30)}") for k in (2, 3, 4)]
+        want |= {base + k: set(range(30 + k, 82 + k)) for k in (2, 3, 4)}
+    got = {r.doc_id: r for r in passages.repeated_passages(documents(spark, rows)).collect()}
+    assert got.keys() == want.keys()
+    for doc, all_words in want.items():
+        assert len(all_words - covered_words(got[doc])) == 0 and got[doc].class_id == doc // 10 * 10 + 2
+
+
 def test_compact_windows_are_the_wide_nodes_of_the_tree():
     r = np.random.default_rng(8)
     for n in (0, 3, 10, 60, 200):
