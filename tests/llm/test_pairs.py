@@ -159,6 +159,21 @@ def test_passages_behind_a_first_document_that_has_only_a_part(spark, monkeypatc
         assert len(all_words - covered_words(got[doc])) == 0 and got[doc].class_id == doc // 10 * 10 + 2
 
 
+def test_short_passages_with_one_word_put_in_left_out_or_changed(spark):
+    rows, r = [], random.Random(3)
+    for i in range(300):
+        passage = words(5000 + i, 50 + i % 11).split()
+        middle = len(passage) // 2
+        changed = passage[:middle] + ([], ["puttt"] + passage[middle:middle + 1], ["puttt"])[i % 3] + passage[middle + 1:]
+        for k, part in enumerate((passage, changed)):
+            rows.append((2 * i + k, f"{words(6000 + 2 * i + k, r.randint(20, 60))} {' '.join(part)} {words(8000 + 2 * i + k, 40)}"))
+    got = {r.doc_id: r.class_id for r in passages.repeated_passages(documents(spark, rows)).collect()}
+    for edit in range(3):
+        found = sum(got.get(2 * i) == got.get(2 * i + 1) == 2 * i for i in range(edit, 300, 3))
+        print("recall", edit, found)
+        assert found >= 99
+
+
 def test_compact_windows_are_the_wide_nodes_of_the_tree():
     r = np.random.default_rng(8)
     for n in (0, 3, 10, 60, 200):
