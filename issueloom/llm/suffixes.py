@@ -10,6 +10,7 @@ BLOCK starts, whose strings all hold one common core.
 2. Where all surroundings are equal too, the whole block is a repeat: this settles copies, however many.
 3. The rest, one of each kind, is fetched with its bytes, range-partitioned by leading bytes and sorted locally by
    multikey quicksort; strings in one run of equal cores are compared start by start.
+4. Groups of more than HELD kinds are not gathered: each of their strings becomes its digest, and digests are counted.
 """
 
 import hashlib
@@ -23,6 +24,7 @@ from issueloom.llm.batches import map_texts, mix, slices
 from issueloom.session import materialize
 
 LENGTH, WINDOW, BLOCK, GRAM = 400, 200, 100, 8
+HELD = 4096  # rows of equal cores that a task compares at a time, about 2.4 MB of bytes; strings of larger groups are counted by digest
 
 
 def _gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -206,6 +208,20 @@ def _fetch(batches):
         yield pa.RecordBatch.from_arrays([pa.array(out[n], pa.binary() if n == "bytes" else pa.int64()) for n in names], names)
 
 
+def _digests(batches):
+    """(did, tkey, start, string): each start of the listed suffixes, with the digest of its LENGTH bytes."""
+    digest = xxhash.xxh3_128_digest
+    for batch in batches:
+        for did, tkey, text, spots in zip(*(c.to_pylist() for c in batch.columns)):
+            raw = text.encode()
+            for s in spots:
+                place, near, far = s["spot"] >> 16, s["spot"] >> 8 & 255, s["spot"] & 255
+                starts = list(range(place - far, place - near + 1))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([did] * len(starts), pa.int64()), pa.array([tkey] * len(starts), pa.int64()), pa.array(starts, pa.int64()),
+                     pa.array([digest(raw[x:x + LENGTH]) for x in starts], pa.binary())], ["did", "tkey", "start", "string"])
+
+
 def _cut(batches):
     for batch in batches:
         size, gone, runs, kept = [], [], [], []
@@ -252,12 +268,31 @@ def repeated_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     settled = repeats.filter("copies > 1").select(F.explode(F.concat(F.array(F.struct("did", "tkey", "spot")), "more")).alias("m")).select(
         "m.*").select("did", "tkey", (place - far).alias("start"), (place - near + LENGTH).alias("stop"))
     open_ = repeats.filter("all > copies and turn = 1").select("did", "tkey", "lead", "core", "spot")
-    listed = open_.groupBy("did", "tkey").agg(F.collect_list(F.struct("lead", "core", "spot")).alias("spots"))
-    fetched = map_texts(keyed.join(listed, ["did", "tkey"]).select("did", "tkey", "text", "spots"), _fetch, "did bigint, tkey bigint, lead bigint, core bigint, spot bigint, bytes binary")
+    held_rows, counted_rows = _by_size(open_)
+    fetched = map_texts(_texts_of(keyed, held_rows), _fetch, "did bigint, tkey bigint, lead bigint, core bigint, spot bigint, bytes binary")
     fetched = materialize(fetched, "suffix-bytes")
     compared = fetched.repartitionByRange("lead", "core").sortWithinPartitions("lead", "core").mapInArrow(
         _buckets, "did bigint, tkey bigint, start bigint, stop bigint")
-    return settled.unionByName(compared)
+    return settled.unionByName(compared).unionByName(_counted_spans(keyed, counted_rows))
+
+
+def _by_size(open_: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Open rows of groups of (lead, core) that one task may hold, and those of larger groups."""
+    open_ = materialize(open_, "suffix-open")
+    large = open_.groupBy("lead", "core").agg(F.count("*").alias("n")).filter(F.col("n") > HELD).select("lead", "core")
+    return open_.join(large, ["lead", "core"], "left_anti"), open_.join(large, ["lead", "core"], "left_semi")
+
+
+def _texts_of(keyed: DataFrame, rows: DataFrame) -> DataFrame:
+    listed = rows.groupBy("did", "tkey").agg(F.collect_list(F.struct("lead", "core", "spot")).alias("spots"))
+    return keyed.join(listed, ["did", "tkey"]).select("did", "tkey", "text", "spots")
+
+
+def _counted_spans(keyed: DataFrame, rows: DataFrame) -> DataFrame:
+    """(did, tkey, start, stop) of the strings of `rows` that occur twice, by partial counts of their digests; no group is gathered."""
+    strings = materialize(map_texts(_texts_of(keyed, rows), _digests, "did bigint, tkey bigint, start bigint, string binary"), "suffix-strings")
+    twice = strings.groupBy("string").agg(F.count("*").alias("n")).filter("n > 1").select("string")
+    return strings.join(twice, "string", "left_semi").select("did", "tkey", "start", (F.col("start") + LENGTH).alias("stop"))
 
 
 def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -219,6 +219,27 @@ def test_repeated_bytes(spark):
     assert suffixes.remove_repeats(documents(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("held", [4096, 3, 1])
+def test_repeated_bytes_with_many_surroundings_of_one_core(spark, monkeypatch, held):
+    monkeypatch.setattr(suffixes, "HELD", held)
+    sizes = []
+    by_size = suffixes._by_size
+
+    def watched(rows):
+        parts = by_size(rows)
+        sizes.append([r[0] for r in parts[0].groupBy("lead", "core").count().select("count").collect()])
+        return parts
+
+    monkeypatch.setattr(suffixes, "_by_size", watched)
+    line, longer = words(31, 200)[:360], words(32, 300)[:700]
+    rows = [(i, words(300 + i, 90) + line + words(400 + i, 90)) for i in range(12)]
+    rows += [(20 + i, words(500 + i, 80) + longer[10 * i:600 + 10 * i] + words(600 + i, 80)) for i in range(8)]
+    rows += [(40, rows[3][1]), (3, rows[3][1])]
+    got = [tuple(r) for r in suffixes.remove_repeats(documents(spark, rows)).collect()]
+    assert sorted(got) == sorted(brute_bytes(rows, suffixes.LENGTH))
+    assert max(sizes[0], default=0) <= held
+
+
 def test_multikey_order():
     r = np.random.default_rng(3)
     table = r.integers(0, 3, (500, 6), dtype=np.uint64)
