@@ -39,11 +39,13 @@ def passage_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray,
     heads = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
     ids = owner[heads]
     sizes = np.diff(np.append(heads, len(words))).astype(np.float32)
-    # bytes from a passage's first word to the next passage's, blanks of a following text's head included with it
-    lengths = np.diff(np.append(starts[heads], len(data)))
+    # bytes from a passage's first word to the next passage's or to the end of its own text
+    stops = np.minimum(np.append(starts[heads[1:]], len(data)), offsets[rows[heads] + 1])
+    lengths = stops - starts[heads]
     byte_owner = np.repeat(np.arange(len(heads)), lengths)
+    at = np.arange(len(byte_owner)) + np.repeat(starts[heads] - (np.cumsum(lengths) - lengths), lengths)
     kinds = len(_CLASSES) + 1
-    counts = np.bincount(byte_owner * kinds + _CLASS[data[starts[0]:]], minlength=len(heads) * kinds).reshape(-1, kinds)
+    counts = np.bincount(byte_owner * kinds + _CLASS[data[at]], minlength=len(heads) * kinds).reshape(-1, kinds)
     out[ids, :kinds] = counts / lengths[:, None]
     for i, lag in enumerate(LAGS):
         same = np.zeros(len(words), np.int64)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from issueloom.llm import bpe, decontam, licenses, neardup, pii, quality, topk
-from issueloom.llm.batches import slices
+from issueloom.llm.batches import flat, slices
 from tests.llm.cases import documents, rows_of, tricky_texts, with_clashes, words
 from tests.llm.test_bpe import THEIRS
 
@@ -77,6 +77,15 @@ def test_labels_of_held_out_rows_change_nothing(spark):
     assert a == b
 
 
+def test_features_do_not_depend_on_neighbours():
+    texts = ["short clean text", " \n\t " * 50, "", "\n\n      deeply indented " + words(5, 150) + "\n ", "   ", "x", words(6, 64), "\n" * 99 + "last"]
+    alone = [quality.passage_features(*flat(pa.array([t])))[0].tolist() for t in texts]
+    for order in (range(len(texts)), range(len(texts) - 1, -1, -1), [3, 0, 7, 2, 6, 1, 5, 4], [0, 1, 7, 3, 5, 4, 6, 2]):
+        x, passages = quality.passage_features(*flat(pa.array([texts[i] for i in order])))
+        parts = np.split(x, np.cumsum(passages)[:-1])
+        assert [p.tolist() for p in parts] == [alone[i] for i in order]
+
+
 def test_gradients():
     model, r = quality.AttentionModel(), np.random.default_rng(2)
     model.p["c"] = r.normal(size=quality.HIDDEN)
