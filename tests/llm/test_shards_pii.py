@@ -74,6 +74,13 @@ def test_disguises_map_back_to_the_source():
     assert pii.redact_text("a@b.co, +1 (243) 555-5526") == "<email>, <phone>"
 
 
+def test_long_runs_of_zeros_in_an_address():
+    zeros = "0" * 5000
+    for text, found in ((f"{zeros}.1.2.3", True), (f"10.{zeros}255.0.{zeros}", True), (f"{zeros}256.1.2.3", False), (f"1.2.3.4{zeros}", False)):
+        assert [s for s in pii.plain_spans(text) if s[0] == "ip"] == ([("ip", 0, len(text))] if found else [])
+        assert pii.redact_text(text).startswith("<ip>") == found
+
+
 def test_long_runs_are_read_in_time():
     for text in ("a" * 300_000, "1" * 300_000, "a." * 100_000 + "@", "+1" + " " * 200_000, "one " * 50_000, "( " * 50_000):
         pii.all_spans(text)
