@@ -1,11 +1,12 @@
 """The queries of this package over whole tables, and the SQL that states a result where SQL can."""
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from issueloom.llm import bpe, decontam, licenses, neardup, passages, pii, quality, shards, suffixes, topk
+from issueloom.llm import align, bpe, decontam, hosts, licenses, neardup, passages, pii, quality, runs, shards, suffixes, topk
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
+BYTE_LEVEL, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 QUERIES, ORACLES = {}, {}
 
@@ -124,3 +125,54 @@ def op4(spark, sf_dir):
 @query("op6_license_notices")
 def op6(spark, sf_dir):
     return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+@query("op11_token_alignment")
+def op11(spark, sf_dir):
+    return align.alignment_digest(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_LEVEL), public_tokenizers.path(PIECES))
+
+
+@query("op12_host_rules", f"""
+with lists as (select row_number() over () as r, doc_id, source as host, coalesce(text, '') as t,
+    list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as l
+  from documents),
+windows as (select r, unnest(range(1, len(w) - 6)) as i, w from lists where len(w) >= 8),
+named as (select r, i, count(*) over (partition by r, w[i:i + 7]) as c from windows),
+inside as (select r, count(distinct i + j) as n from named, range(0, 8) x(j) where c > 1 group by r),
+counts as (select r, doc_id, host, len(w) as n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::bigint as word_chars,
+    length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) as n_symbols, len(l) as n_lines,
+    len(l) - len(list_distinct(l)) as n_dup_lines, coalesce(n, 0) as n_repeat_words from lists left join inside using (r)),
+rules as (select host, rule, count(*)::double as n, (count(*) filter (bad))::double as k from (
+  select host, unnest([{", ".join(f"'{r}'" for r in hosts.RULES)}]) as rule,
+         unnest([{", ".join(f"({c})" for c in hosts.RULES.values())}]) as bad
+  from counts where host is not null and trim(host) <> '') group by all),
+moments as (select rule, sum(k) / sum(n) as p, sum(n) - sum(n * n) / sum(n) as spread, sum(k * k / n) - sum(k) * sum(k) / sum(n) as between_hosts,
+  count(*) as h from rules group by rule),
+shares as (select rule, p, case when spread > 0 and p > 0 and p < 1
+  then ((between_hosts - p * (1 - p) * (h - 1)) / spread) / (p * (1 - p)) else 0 end as rho from moments),
+prior as (select rule, p, case when rho > 0 then greatest({hosts.LEAST_STRENGTH}, least({hosts.MOST_STRENGTH}, 1 / rho - 1))
+  else {hosts.MOST_STRENGTH} end as m from shares),
+gone as (select distinct host from rules join prior using (rule) where round((k + m * p) / (n + m), 9) > {hosts.HOST_LIMIT})
+select doc_id, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words,
+  {" or ".join(f"({c})" for c in hosts.BASE_RULES.values())} as base_failed, gone.host is not null as host_rejected,
+  not ({" or ".join(f"({c})" for c in hosts.BASE_RULES.values())}) and gone.host is null as kept
+from counts left join gone on counts.host = gone.host""")
+def op12(spark, sf_dir):
+    return hosts.judge(table(spark, sf_dir, "documents"))
+
+
+def with_periodic_ends(docs: DataFrame) -> DataFrame:
+    """A tenth of the documents with a periodic end, as fixed by the crc of their ids: word i >= a becomes word a + (i - a) % p."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    chosen = docs.select("doc_id", "text", F.when(h % 10 == 0, words).alias("w"), F.floor(h / 10).alias("g"))
+    placed = chosen.withColumn("n", F.size("w")).withColumn("a", F.expr("cast(if(n > 0, g % n, 0) as int)")).withColumn(
+        "p", F.expr("cast(1 + floor((n - a) / (3 + g % 8)) as int)"))
+    changed = F.expr("array_join(transform(w, (x, i) -> if(i < a, x, w[a + (i - a) % p])), ' ')")
+    return placed.select("doc_id", F.when(F.col("n") > 0, changed).otherwise(F.col("text")).alias("text"))
+
+
+@query("op13_periodic_runs")
+def op13(spark, sf_dir):
+    return runs.run_digest(runs.find_runs(with_periodic_ends(table(spark, sf_dir, "documents"))))
