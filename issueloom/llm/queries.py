@@ -129,7 +129,8 @@ def op6(spark, sf_dir):
 
 @query("op11_token_alignment")
 def op11(spark, sf_dir):
-    return align.alignment_digest(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_LEVEL), public_tokenizers.path(PIECES))
+    return align.alignment_digest(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_LEVEL), public_tokenizers.path(PIECES),
+                                  public_tokenizers.PATTERN)
 
 
 @query("op12_host_rules", f"""

@@ -17,7 +17,7 @@ from tokenizers import Tokenizer
 from issueloom.llm import align, hosts, queries, runs
 from tests.llm.cases import documents, rows_of, tricky_texts, with_clashes, words
 
-FILES = public_tokenizers.path(queries.BYTE_LEVEL), public_tokenizers.path(queries.PIECES)
+FILES = public_tokenizers.path(queries.BYTE_LEVEL), public_tokenizers.path(queries.PIECES), public_tokenizers.PATTERN
 DATA = "/root/testdata/sf0.001"
 
 
@@ -132,6 +132,17 @@ def test_fragments_are_a_monoid(text, marks, r):
     assert groups == whole[0] and links.tolist() == whole[1].tolist()
 
 
+def test_both_encoders_of_a_agree(monkeypatch):
+    of, r = align.pair(*FILES), random.Random(4)
+    signs = ["a", "B", " ", "  ", "\n", "'s", "'S", "é", "東", "1", "٣", "!", "\u00a0", "\u200b", "\u3000", "\x85", "<|endoftext|>", "e\u0301"]
+    texts = ["".join(r.choice(signs) for _ in range(r.randint(0, 40))) for _ in range(500)]
+    texts += [" " * 90_000 + "x", "\n" * 50_000 + "\u3000" * 49_000 + "y", "q" * 90_000]
+    fast = [of.a_ids(t) for t in texts]
+    monkeypatch.setattr(align, "FAST_CHARS", -1)
+    assert fast == [of.a_ids(t) for t in texts]
+    assert len(of.a_ids(" " * 1_500_000 + "x")) == 1_500_000
+
+
 def test_no_more_pairs_than_the_bound(spark):
     links = spark.createDataFrame([(1, [1, 2, 3]), (2, [3])], "doc_id bigint, links array<bigint>")
     assert align.with_counts(links, 3).count() == 2
