@@ -8,6 +8,7 @@ from issueloom.functions.text import clean_text, compact, contains_any, is_blank
 from issueloom.operators.dedupe import effective_counts
 from issueloom.operators.keywords import (
     keyword_distribution, keyword_score, rollup_keywords_of, top_keywords)
+from issueloom.operators.overlap import meet, overlap_keys
 from issueloom.operators.selection import greedy_select, rank_rows
 from issueloom.rules import TOPIC_RULES
 from issueloom.session import materialize
@@ -92,27 +93,18 @@ def rarest_first(nodes: DataFrame) -> DataFrame:
             .withColumn("long_tokens", F.filter("tokens", lambda t: F.length(t) >= LONG_KEYWORD)))
 
 
-def _prefix(tokens_column: str, shared: int) -> Column:
-    return F.slice(tokens_column, 1, F.greatest(F.size(tokens_column) - (shared - 1), F.lit(0)))
+LEGS = [("any", "tokens", SHARED_ANY), ("long", "long_tokens", SHARED_LONG), ("topic", "topics", 1)]
 
 
-def similar_issues(probe: DataFrame, index: DataFrame) -> DataFrame:
-    """(window, later, later_rank, earlier) of issues that share four keywords, or two long ones, or a topic.
+def story_nodes(issues: DataFrame) -> DataFrame:
+    """Ranked issues as nodes for `similar_issues`: ordered keywords, topics and the keys that they are joined by."""
+    nodes = materialize(rarest_first(issue_keywords(issues)), "issue-keywords")
+    return materialize(overlap_keys(nodes, LEGS), "issue-nodes")
 
-    Two sets that share s words must meet in the part of each left after taking away its s-1 most common words.
-    Joining on those parts alone misses nothing, and keeps the most common words, which would pair everything
-    with everything, out of the join.
-    """
-    legs = []
-    for name, prefix in (("any", _prefix("tokens", SHARED_ANY)), ("long", _prefix("long_tokens", SHARED_LONG)),
-                         ("topic", F.col("topics"))):
-        def keyed(df, prefix=prefix, name=name):
-            return df.select("window", "id", "rank", F.lit(name).alias("kind"), F.explode(prefix).alias("key"))
-        p, i = keyed(probe), keyed(index)
-        legs.append(p.withColumnsRenamed({"id": "later", "rank": "later_rank"}).join(
-            i.withColumnsRenamed({"id": "earlier", "rank": "earlier_rank"}), ["window", "kind", "key"])
-            .filter("earlier_rank < later_rank"))
-    met = legs[0].unionByName(legs[1]).unionByName(legs[2]).select("window", "later", "later_rank", "earlier").distinct()
+
+def similar_issues(probe: DataFrame, index: DataFrame) -> DataFrame:
+    """(window, later, later_rank, earlier) of `story_nodes` that share four keywords, or two long ones, or a topic."""
+    met = meet(probe, index)
     sets = ["tokens", "long_tokens", "topics"]
     full = (met.join(probe.select("window", F.col("id").alias("later"), *[F.col(c).alias(f"p_{c}") for c in sets]), ["window", "later"])
             .join(index.select("window", F.col("id").alias("earlier"), *[F.col(c).alias(f"i_{c}") for c in sets]), ["window", "earlier"]))
@@ -140,8 +132,7 @@ def dedupe_issues(issues: DataFrame, first_batch: int = FIRST_ISSUES) -> DataFra
     `first_batch` issues at most.
     """
     ranked = materialize(rank_issues(issues), "ranked")
-    nodes = materialize(rarest_first(issue_keywords(ranked)), "issue-keywords")
-    kept = greedy_select(nodes, lambda probe, index: similar_issues(probe, index), first_batch)
+    kept = greedy_select(story_nodes(ranked), lambda probe, index: similar_issues(probe, index), first_batch)
     return ranked.join(kept.select(F.col("window").alias("period"), F.col("id").alias("issue_id")),
                        ["period", "issue_id"], "left_semi").drop("rank")
 

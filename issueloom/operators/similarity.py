@@ -1,15 +1,17 @@
 """Pairs of vectors whose dot product reaches a threshold.
 
-Windows are compared whole, whatever their size: rows are cut into chunks and every pair of chunks is a task of its own,
-so the work of a window grows with its square but no task does. A caller that prefers speed to completeness may ask
-for blocks by bands of sign bits of fixed random projections; the size of the data never decides that.
+Windows are compared whole, whatever their size: rows are cut into chunks and pairs of chunks are tasks of their own. Where a
+window has several chunks, its rows are dealt to them along the angles they make with a few pivots, so that a chunk is a thin
+slice of the space: two rows are no nearer than their angles to any pivot differ, and a pair of chunks whose angles are too far
+apart holds no pair. It is never sent out; nothing is lost. A caller that prefers speed to completeness may ask for blocks by
+bands of sign bits of fixed random projections; the size of the data never decides that.
 """
 
 import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.functions import pandas_udf
 
 from issueloom.rules import GROUP_THRESHOLD
@@ -18,6 +20,9 @@ from issueloom.session import materialize
 CHUNK_ROWS = 2000
 TASK_ROWS = 20_000
 BITS, BANDS, SEED = 12, 80, 20240131
+BLOCK_ROWS = 2000  # a hashed block of more rows is cut by further bits
+MORE_BITS, WAYS, LEVELS = 4, 3, 4
+PIVOTS, PIVOT_SAMPLE, SHELLS = 16, 2048, 64  # shells a radian
 
 
 def projections(size: int, bits: int, bands: int, seed: int) -> np.ndarray:
@@ -35,13 +40,41 @@ def band_keys(bits: int, bands: int, seed: int):
     return keys
 
 
-def with_blocks(nodes: DataFrame, hashed: bool = False, bits: int = BITS, bands: int = BANDS, seed: int = SEED
-                ) -> DataFrame:
-    """Add `blocks`: the window itself, or with `hashed` one key per band, which finds most pairs but not all."""
+def with_blocks(nodes: DataFrame, hashed: bool = False, bits: int = BITS, bands: int = BANDS, seed: int = SEED,
+                block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Add `blocks` and `bands`: the window itself, or with `hashed` blocks that hold most similar pairs but not all.
+
+    A hashed block is a band's bits. One of more than `block_rows` rows is cut by MORE_BITS further bits, in WAYS ways at
+    once, as two rows that differ in one way may agree in another; and so on, LEVELS times. What is then still too large
+    are rows that no projection tells apart. `blocks` are the keys a row is compared under; `bands` has its uncut bands in
+    order, and numbers of its own in place of cut ones.
+    """
     if not hashed:
-        return nodes.withColumn("blocks", F.array(F.xxhash64("window")))
-    keys = band_keys(bits, bands, seed)(F.col("vector"))
-    return nodes.withColumn("blocks", F.transform(keys, lambda k: F.xxhash64(F.col("window"), k)))
+        return nodes.withColumn("blocks", F.array(F.xxhash64("window"))).withColumn("bands", F.col("blocks"))
+    signed = materialize(nodes.select(
+        "window", "id", F.transform(band_keys(bits, bands, seed)(F.col("vector")), lambda k: F.xxhash64(F.col("window"), k)).alias("first"),
+        band_keys(MORE_BITS, LEVELS * WAYS, seed + 1)(F.col("vector")).alias("more")), "signatures")
+    rows, parts, level = signed.select("window", "id", F.explode("first").alias("key")), [], 0
+    while True:
+        sizes = rows.groupBy("key").agg(F.count("*").alias("n")).select("key", (F.col("n") > block_rows).alias("crowded"))
+        placed = materialize(rows.join(sizes, "key"), "blocks")
+        crowded = placed.filter("crowded").drop("crowded")
+        if level == LEVELS or crowded.isEmpty():
+            parts.append(placed.drop("crowded").withColumn("level", F.lit(level)))
+            break
+        parts.append(placed.filter("not crowded").drop("crowded").withColumn("level", F.lit(level)))
+        finer = F.explode(F.slice("more", level * WAYS + 1, WAYS))
+        rows = crowded.join(signed.select("window", "id", "more"), ["window", "id"]).select("window", "id", "key", finer.alias("bits")).select(
+            "window", "id", F.xxhash64("key", "bits").alias("key"))
+        level += 1
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    lists = every.groupBy("window", "id").agg(
+        F.collect_list("key").alias("blocks"), F.collect_list(F.when(F.col("level") == 0, F.col("key"))).alias("uncut"))
+    own = F.transform("first", lambda k, i: F.when(F.array_contains("uncut", k), k).otherwise(F.xxhash64("id", k, i)))
+    return nodes.join(signed.select("window", "id", "first").join(lists, ["window", "id"]).select(
+        "window", "id", "blocks", own.alias("bands")), ["window", "id"])
 
 
 def _score_blocks(threshold: float, ordered: bool):
@@ -58,9 +91,7 @@ def _score_blocks(threshold: float, ordered: bool):
             a, b = np.nonzero(hit)
             if not len(a):
                 continue
-            # a pair that shares several blocks is reported by the first of them
-            shared = np.stack(probe["blocks"].to_numpy())[a] == np.stack(index["blocks"].to_numpy())[b]
-            first = np.stack(probe["blocks"].to_numpy())[a, shared.argmax(axis=1)] == block
+            first = _reports(block, probe, index, a, b)
             a, b = a[first], b[first]
             out.append(pd.DataFrame({
                 "window": probe["window"].to_numpy()[a], "later": probe["id"].to_numpy()[a],
@@ -73,39 +104,144 @@ def _score_blocks(threshold: float, ordered: bool):
     return score
 
 
+def _reports(block: int, probe: pd.DataFrame, index: pd.DataFrame, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether this block is the one that reports each pair: the first uncut band they share, else the least block."""
+    shared = np.stack(probe["bands"].to_numpy())[a] == np.stack(index["bands"].to_numpy())[b]
+    band = shared.argmax(axis=1)
+    first = np.stack(probe["bands"].to_numpy())[a, band] == block
+    rest = np.flatnonzero(~shared.any(axis=1))
+    if len(rest):
+        mine = {k: set(probe["blocks"].iloc[k].tolist()) for k in np.unique(a[rest]).tolist()}
+        theirs = {k: set(index["blocks"].iloc[k].tolist()) for k in np.unique(b[rest]).tolist()}
+        first[rest] = [min(mine[x] & theirs[y]) == block for x, y in zip(a[rest].tolist(), b[rest].tolist())]
+    return first
+
+
+def fit_pivots(sample: np.ndarray, count: int = PIVOTS) -> np.ndarray:
+    """Unit vectors spread over the directions of `sample`: far from each other first, then moved to the middle of what is near."""
+    norms = np.linalg.norm(sample, axis=1)
+    sample = sample[norms > 0] / norms[norms > 0, None]
+    if not len(sample):
+        return np.zeros((0, sample.shape[1]))
+    pivots, near = [sample[0]], sample @ sample[0]
+    while len(pivots) < min(count, len(sample)):
+        pivots.append(sample[near.argmin()])
+        near = np.maximum(near, sample @ pivots[-1])
+    pivots = np.array(pivots)
+    for _ in range(3):
+        home = (sample @ pivots.T).argmax(axis=1)
+        sums = np.array([sample[home == k].sum(axis=0) for k in range(len(pivots))])
+        long = np.linalg.norm(sums, axis=1)
+        pivots[long > 0] = sums[long > 0] / long[long > 0, None]
+    return pivots
+
+
+def angles(pivots: np.ndarray, cells: int):
+    """Column function: vector -> (cell, shell, norm, angles): nearest of the first `cells` pivots, angle to it in steps,
+    length, angles to all pivots."""
+    @pandas_udf("cell int, shell int, norm double, angles array<double>")
+    def place(vectors: pd.Series) -> pd.DataFrame:
+        matrix = np.stack(vectors.to_numpy())
+        norms = np.linalg.norm(matrix, axis=1)
+        unit = np.divide(matrix, norms[:, None], out=np.zeros_like(matrix), where=norms[:, None] > 0)
+        every = np.arccos(np.clip(unit @ pivots.T, -1, 1))
+        cell = every[:, :cells].argmin(axis=1)
+        shell = (every[np.arange(len(cell)), cell] * SHELLS).astype(np.int32)
+        return pd.DataFrame({"cell": cell.astype(np.int32), "shell": shell, "norm": norms, "angles": list(every)})
+    return place
+
+
+def _in_chunks(rows: DataFrame) -> DataFrame:
+    """Add `chunk` in each block and side: consecutive shells of one cell, twice CHUNK_ROWS rows at most.
+
+    Only counts of (cell, shell) are put in order; a shell of more rows than a chunk is cut by the hash of its ids.
+    """
+    grain = ["block", "side", "cell", "shell"]
+    counts = rows.groupBy(*grain).agg(F.count("*").alias("n"))
+    before = Window.partitionBy("block", "side", "cell").orderBy("shell").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*grain, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"), F.ceil(F.col("n") / CHUNK_ROWS).alias("cut"))
+    spread = F.pmod(F.xxhash64("id", F.lit(7)), F.col("cut")) * CHUNK_ROWS
+    step = F.floor((F.col("start") + spread) / CHUNK_ROWS)
+    return rows.join(starts, grain).withColumn("chunk", step * PIVOTS + F.col("cell")).drop("start", "cut")
+
+
+def meeting_chunks(chunked: DataFrame, pivots: int, threshold: float, ordered: bool = False) -> DataFrame:
+    """(block, p, i, probes, indexed, open) of all pairs of chunks; those not `open` hold no pair that reaches the threshold.
+
+    For x and y of lengths up to a and b, x.y >= t needs an angle of at most acos(t / ab) between them; and by the triangle
+    inequality it is at least the difference of their angles to any pivot. A thousandth is left for rounding.
+    """
+    stats = chunked.groupBy("block", "side", "chunk").agg(
+        F.count("*").alias("n"), F.max("norm").alias("norm"), F.min("rank").alias("first"), F.max("rank").alias("last"),
+        F.array(*[F.min(F.get("angles", k)) for k in range(pivots)]).alias("low"),
+        F.array(*[F.max(F.get("angles", k)) for k in range(pivots)]).alias("high"))
+    stats = materialize(stats, "chunks")
+
+    def of(side, name):
+        own = stats.filter(F.col("side") == side)
+        return own.select("block", F.col("chunk").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in ("n", "norm", "first", "last", "low", "high")])
+    gaps = F.zip_with(F.zip_with("p_low", "i_high", lambda x, y: x - y), F.zip_with("i_low", "p_high", lambda x, y: x - y), lambda x, y: F.greatest(x, y))
+    gap = F.coalesce(F.array_max(gaps), F.lit(0.0))
+    most = F.col("p_norm") * F.col("i_norm")
+    may = F.lit(True) if threshold <= 0 else (most >= threshold - 1e-6) & (
+        gap <= F.acos(F.least(F.lit(1.0), F.lit(threshold) / F.greatest(most, F.lit(threshold)))) + 1e-3)
+    if ordered:
+        may &= F.col("i_first") < F.col("p_last")
+    return of(0, "p").join(of(1, "i"), "block").select(
+        "block", "p", "i", F.col("p_n").alias("probes"), F.col("i_n").alias("indexed"), may.alias("open"))
+
+
+COLUMNS = ["window", "id", "rank", "vector", "blocks", "bands"]
+
+
+def _sides(probe: DataFrame, index: DataFrame) -> DataFrame:
+    def rows(df, side):
+        return df.select(*COLUMNS, F.lit(side).alias("side")).withColumn("block", F.explode("blocks"))
+    return rows(probe, 0).unionByName(rows(index, 1))
+
+
+def chunked_sides(probe: DataFrame, index: DataFrame, largest: int) -> tuple[DataFrame, int]:
+    """(rows of both sides in chunks along the pivots, number of pivots), `largest` being the rows of the largest block.
+
+    Pivots are fitted to about PIVOT_SAMPLE rows; they decide how much is skipped, never the result. There are no more
+    cells than the largest block has chunks, so that chunks are full.
+    """
+    every = index.count()
+    some = index.filter(F.pmod(F.xxhash64("id", F.lit(11)), F.lit(max(1, every // PIVOT_SAMPLE))) == 0).select("vector").limit(2 * PIVOT_SAMPLE)
+    sample = np.array([r[0] for r in some.collect()], np.float64)
+    pivots = fit_pivots(sample) if len(sample) else np.zeros((0, 0))
+    if not len(pivots):
+        pivots = np.zeros((1, sample.shape[1] if sample.ndim == 2 else 0))
+    placed = _sides(probe, index).withColumn("at", angles(pivots, math.ceil(largest / CHUNK_ROWS))(F.col("vector"))).select(
+        "block", "side", *COLUMNS, "at.cell", "at.shell", "at.norm", "at.angles")
+    return materialize(_in_chunks(placed), "chunked"), len(pivots)
+
+
 def similar_pairs(probe: DataFrame, index: DataFrame, threshold: float = GROUP_THRESHOLD, ordered: bool = True,
                   self_join: bool = False) -> DataFrame:
     """(window, later, later_rank, earlier, earlier_rank, score) for probe rows near index rows of their window.
 
-    Both sides carry window, id, rank, vector and the `blocks` of `with_blocks`. With `ordered`, only index rows
-    of a lower rank count. Vectors travel once per block and chunk pair; only pairs that pass leave a task. With
+    Both sides carry window, id, rank, vector and what `with_blocks` adds. With `ordered`, only index rows
+    of a lower rank count. Vectors travel once per block and open chunk pair; only pairs that pass leave a task. With
     `self_join` (both sides are the same rows) blocks of a single row are left out, as they hold no pair.
     """
-    columns = ["window", "id", "rank", "vector", "blocks"]
-
-    def rows(df, side):
-        return df.select(*columns, F.lit(side).alias("side")).withColumn("block", F.explode("blocks"))
-
-    sides = rows(probe, 0).unionByName(rows(index, 1))
     keys = probe.select(F.explode("blocks").alias("block"), F.lit(0).alias("side")).unionByName(
         index.select(F.explode("blocks").alias("block"), F.lit(1).alias("side")))
     sizes = materialize(
         keys.groupBy("block").agg(F.count_if(F.col("side") == 0).alias("probes"), F.count_if(F.col("side") == 1).alias("indexed"))
-        .filter("probes > 0 and indexed > 0" + (" and probes > 1" if self_join else ""))
-        .selectExpr("block", f"ceil(probes / {CHUNK_ROWS}) as np", f"ceil(indexed / {CHUNK_ROWS}) as ni", "probes", "indexed"),
-        "blocks")
-    load = sizes.agg(F.sum(F.expr("probes * ni + indexed * np"))).first()[0] or 0
-    tasks = max(1, math.ceil(load / TASK_ROWS))
-    spread = F.xxhash64("id", F.lit(7))
-    own_p, own_i = F.pmod(spread, F.col("np")), F.pmod(spread, F.col("ni"))
-    every_p, every_i = F.expr("sequence(0L, np - 1)"), F.expr("sequence(0L, ni - 1)")
-    placed = (
-        sides.join(sizes, "block")
-        .withColumn("p", F.explode(F.when(F.col("side") == 0, F.array(own_p)).otherwise(every_p)))
-        .withColumn("i", F.explode(F.when(F.col("side") == 1, F.array(own_i)).otherwise(every_i)))
-        .withColumn("task", F.pmod(F.xxhash64("block", "p", "i"), F.lit(tasks)))
-        .select("task", "block", "p", "i", "side", *columns)
-    )
+        .filter("probes > 0 and indexed > 0" + (" and probes > 1" if self_join else "")), "blocks")
+    largest, load = sizes.agg(F.max(F.greatest("probes", "indexed")), F.sum(F.expr("probes + indexed"))).first()
+    if (largest or 0) > CHUNK_ROWS:
+        rows, pivots = chunked_sides(probe, index, largest)
+        pairs = materialize(meeting_chunks(rows.join(sizes.select("block"), "block", "left_semi"), pivots, threshold, ordered).filter("open"), "chunk-pairs")
+        load = pairs.agg(F.sum(F.expr("probes + indexed"))).first()[0]
+        by_side = pairs.select("block", F.lit(0).alias("side"), F.col("p").alias("chunk"), "p", "i").unionByName(
+            pairs.select("block", F.lit(1).alias("side"), F.col("i").alias("chunk"), "p", "i"))
+        placed = rows.join(by_side, ["block", "side", "chunk"])
+    else:
+        placed = _sides(probe, index).join(sizes.select("block"), "block", "left_semi").withColumn("p", F.lit(0)).withColumn("i", F.lit(0))
+    tasks = max(1, math.ceil((load or 0) / TASK_ROWS))
+    placed = placed.withColumn("task", F.pmod(F.xxhash64("block", "p", "i"), F.lit(tasks))).select("task", "block", "p", "i", "side", *COLUMNS)
     kind = probe.schema["window"].dataType.simpleString()
     schema = f"window {kind}, later string, later_rank bigint, earlier string, earlier_rank bigint, score double"
     return placed.groupBy("task").applyInPandas(_score_blocks(threshold, ordered), schema)

@@ -358,7 +358,7 @@ def deduped(t):
 @query("g6_similar_issues", q.with_groups("select period, later, earlier from alike", *UP_TO_ISSUES, KEPT))
 def similar(t):
     ranked = I.rank_issues(issue_parts(t).issues)
-    nodes = materialize(I.rarest_first(I.issue_keywords(ranked)), "nodes")
+    nodes = I.story_nodes(ranked)
     return I.similar_issues(nodes, nodes).select(F.col("window").alias("period"), "later", "earlier")
 
 

@@ -248,12 +248,15 @@ NESTED = {
     1: (f'<div class="article-body"><div>cap</div>{LONG}<div><div>x</div></div> end</div>', f"cap{LONG}x end"),
     2: (f'<section><article>a<article>b</article>{LONG}</article></section>', f"ab{LONG}"),
     3: (f'<div id="dic_area"><div><p>q</p></div><br/>{LONG}', f"q{LONG}"),
+    # no container by these attributes, and none inside a comment, a script or a menu
+    4: (f'<div data-class="article-body">{LONG}</div><!--<article>{LONG}</article>--><nav><article>{LONG}</article></nav>'
+        f'<script>"<article>{LONG}</article>"</script>', None),
 }
 
 
 @query("h5_extract_body", f"""
 with base as ({BODY_SQL})
-select page_id, case page_id % 5 {" ".join(f"when {k} then substr('{want}', 1, 12000)" for k, (_, want) in NESTED.items())}
+select page_id, case page_id % 5 {" ".join(f"when {k} then substr('{want}', 1, 12000)" for k, (_, want) in NESTED.items() if want)}
   else body end as body from base""")
 def bodies(t):
     more = F.lit("")

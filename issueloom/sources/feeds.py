@@ -1,6 +1,10 @@
 """Feed lists and landed feed files."""
 
+from xml.parsers import expat
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql.functions import pandas_udf
 
 from issueloom.functions.dates import published_at
 from issueloom.functions.html import item_image
@@ -54,80 +58,111 @@ def valid_items(items: DataFrame) -> DataFrame:
     return items.filter(~is_blank(F.col("title")) & ~is_blank(F.col("url")))
 
 
-def _element(**fields) -> T.ArrayType:
-    return T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in fields.values()]))
-
-
-MEDIA = _element(url="_url", src="_src", type="_type", medium="_medium", text="_VALUE")
-TEXT = T.ArrayType(T.StringType())
-LINK = _element(href="_href", text="_VALUE")
-MEDIA_NAMES = ["media:thumbnail", "thumbnail", "media:content", "enclosure"]
-ITEM = T.StructType(
-    [T.StructField(n, TEXT) for n in (
-        "title", "description", "summary", "author", "creator", "dc:creator", "pubDate", "published", "updated")]
-    + [T.StructField("link", LINK), T.StructField("content", MEDIA)]
-    + [T.StructField(n, MEDIA) for n in MEDIA_NAMES])
-# An Atom author is a container; its name is its text.
-ENTRY = T.StructType([f for f in ITEM.fields if f.name != "author"] + [
-    T.StructField("author", T.ArrayType(T.StructType([T.StructField("name", T.StringType())])))])
-CHANNEL = T.StructType([T.StructField("title", TEXT)])
-
-
-def _scan(spark: SparkSession, path: str, tag: str, schema: T.StructType) -> DataFrame:
-    # An explicit schema: inference turns a title such as "T1" into a time.
-    return (spark.read.format("xml").option("rowTag", tag).option("ignoreNamespace", "false").schema(schema).load(path)
-            .withColumn("feed_file", F.col("_metadata.file_path")))
-
-
-def _first(name: str) -> Column:
-    return F.get(F.col(f"`{name}`"), 0)
-
-
-def _articles(items: DataFrame, sources: DataFrame, feed_urls: DataFrame, as_of: Column, author: Column) -> DataFrame:
-    link = clean_text(F.get(F.col("link"), 0)["_VALUE"])
-    url = F.when(link != "", link).otherwise(or_empty(F.get(F.col("link"), 0)["_href"]))
-    markup = F.coalesce(_first("description"), _first("summary"), F.get(F.col("content"), 0)["_VALUE"])
-    described = F.coalesce(_first("description"), F.get(F.col("content"), 0)["_VALUE"])
-
-    def media(column: str, name: str) -> Column:
-        found = F.coalesce(F.col(f"`{column}`"), F.array().cast(MEDIA))
-        return F.transform(found, lambda m: F.struct(
-            F.lit(name).alias("name"), F.coalesce(m["_type"], m["_medium"]).alias("type"), m["_url"].alias("url"),
-            m["_src"].alias("src")))
-
-    images = F.concat(media("media:thumbnail", "thumbnail"), media("thumbnail", "thumbnail"),
-                      media("media:content", "content"), media("content", "content"), media("enclosure", "enclosure"))
-    raw_time = F.coalesce(_first("pubDate"), _first("published"), _first("updated"))
-    rows = items.join(sources, "feed_file", "left").join(feed_urls, "feed_file", "left")
+_KEPT = ("type", "medium", "url", "src", "href")
+ELEMENT = T.StructType([T.StructField("depth", T.IntegerType())] + [T.StructField(n, T.StringType()) for n in ("name", *_KEPT, "text")])
+FEED = T.StructType([T.StructField("channel", T.StringType()), T.StructField("kind", T.StringType()),
+                     T.StructField("items", T.ArrayType(T.ArrayType(ELEMENT)))])
+
+
+class _Feed:
+    """The items of one feed document, each as its elements in document order: depth, local name, attributes and text."""
+
+    def __init__(self, document: str):
+        self.path: list[str] = []
+        self.text: list[str] = []
+        self.channel: list[str] = []
+        self.items: list[list[list]] = []
+        self.entries: list[list[list]] = []
+        self.inside: list[tuple[int, list, list]] = []  # open items: (depth, elements, open elements)
+        reader = expat.ParserCreate(namespace_separator=" ")
+        reader.buffer_text = True
+        reader.StartElementHandler, reader.EndElementHandler, reader.CharacterDataHandler = self._start, self._end, self.text.append
+        reader.Parse(document, True)
+
+    def _start(self, name: str, attributes: dict[str, str]) -> None:
+        local = name.rpartition(" ")[2]
+        for depth, elements, unfinished in self.inside:
+            element = [len(self.path) - depth, local, *[attributes.get(k) for k in _KEPT], None]
+            elements.append(element)
+            unfinished.append((element, len(self.text)))
+        if name == "item" or len(self.path) == 1 and local == "entry":
+            elements = []
+            (self.items if name == "item" else self.entries).append(elements)
+            self.inside.append((len(self.path), elements, []))
+        self.path.append(name)
+        if len(self.path) == 3 and self.path[1:] == ["channel", "title"] and not self.channel:
+            self.title = len(self.text)
+
+    def _end(self, name: str) -> None:
+        if len(self.path) == 3 and self.path[1:] == ["channel", "title"] and not self.channel:
+            self.channel.append("".join(self.text[self.title:]))
+        self.path.pop()
+        if self.inside and self.inside[-1][0] == len(self.path):
+            self.inside.pop()
+        for depth, _, unfinished in self.inside:
+            element, first = unfinished.pop()
+            if element[0] == 1:  # only the item's own children are read as text
+                element[-1] = "".join(self.text[first:])
+
+
+@pandas_udf(FEED)
+def read_feed(documents: pd.Series) -> pd.DataFrame:
+    """Channel title and items of feed documents; entries where there are no items. A document that is no XML has none."""
+    rows = []
+    for document in documents:
+        try:
+            feed = _Feed(document)
+        except expat.ExpatError:
+            rows.append((None, None, []))
+            continue
+        rows.append((feed.channel[0] if feed.channel else None, "item" if feed.items else "entry", feed.items or feed.entries))
+    return pd.DataFrame(rows, columns=["channel", "kind", "items"])
+
+
+def _child(name: str) -> Column:
+    """Text of the item's first child of that local name, in any spelling."""
+    return F.get(F.filter("item", lambda e: (e["depth"] == 1) & (F.lower(e["name"]) == name)), 0)["text"]
+
+
+def _read_items(spark: SparkSession, path: str, feed_urls: DataFrame, as_of: Column) -> DataFrame:
+    """Articles of landed feed files, with `kind`.
+
+    A file is read once and whole, as a feed is one document: RSS items wherever they stand, or the Atom entries under the root
+    where there are none. What a field is made of follows document order, in any namespace and, for images, at any depth.
+    """
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("feed_file"), read_feed("value").alias("read"))
+    items = files.select("feed_file", F.col("read.channel").alias("channel_title"), F.col("read.kind").alias("kind"),
+                         F.explode("read.items").alias("item")).join(feed_urls, "feed_file", "left")
+    link = clean_text(_child("link"))
+    target = F.get(F.filter("item", lambda e: (e["depth"] == 1) & (e["name"] == "link")), 0)["href"]
+    url = F.when(link != "", link).otherwise(or_empty(target))
     channel = clean_text(F.col("channel_title"))
-    shaped = rows.select(
-        clean_text(_first("title")).alias("title"), url.alias("url"),
+    media = F.transform("item", lambda e: F.struct(
+        e["name"].alias("name"), F.coalesce(e["type"], e["medium"]).alias("type"), e["url"].alias("url"), e["src"].alias("src")))
+    described = F.coalesce(_child("description"), _child("content"))
+    raw_time = F.coalesce(_child("pubdate"), _child("published"), _child("updated"))
+    shaped = items.select(
+        "kind", clean_text(_child("title")).alias("title"), url.alias("url"),
         F.when(channel != "", channel).otherwise(or_empty(host(F.col("feed_url")))).alias("source"),
-        author.alias("author"), F.col("feed_url"), clean_text(markup).alias("summary"), F.lit(False).alias("is_excluded"),
-        item_image(images, described, url).alias("image_url"), F.lit("").alias("content"),
+        clean_text(F.coalesce(_child("author"), _child("creator"))).alias("author"), F.col("feed_url"),
+        clean_text(F.coalesce(_child("description"), _child("summary"), _child("content"))).alias("summary"),
+        F.lit(False).alias("is_excluded"), item_image(media, described, url).alias("image_url"), F.lit("").alias("content"),
         F.lit(None).cast("timestamp").alias("content_fetched_at"), F.lit("").alias("content_fetch_status"),
         F.lit("").alias("content_fetch_error"), published_at(or_empty(raw_time), as_of).alias("published_at"),
         as_of.alias("first_seen_at"), as_of.alias("updated_at"), F.lit(None).cast("array<double>").alias("embedding"))
-    return valid_items(shaped).withColumn("id", F.sha2("url", 256)).select(*ARTICLES.fieldNames())
+    return valid_items(shaped).withColumn("id", F.sha2("url", 256)).select(*ARTICLES.fieldNames(), "kind")
 
 
 def read_rss(spark: SparkSession, path: str, feed_urls: DataFrame, as_of: Column) -> DataFrame:
-    """Articles of landed RSS files. `feed_urls` maps feed_file to the feed's own URL."""
-    items = _scan(spark, path, "item", ITEM)
-    titles = _scan(spark, path, "channel", CHANNEL).groupBy("feed_file").agg(
-        F.first(_first("title"), ignorenulls=True).alias("channel_title"))
-    author = clean_text(F.coalesce(_first("author"), _first("dc:creator"), _first("creator")))
-    return _articles(items, titles, feed_urls, as_of, author)
+    """Articles of landed RSS files only."""
+    return _read_items(spark, path, feed_urls, as_of).filter("kind = 'item'").drop("kind")
 
 
 def read_atom(spark: SparkSession, path: str, feed_urls: DataFrame, as_of: Column) -> DataFrame:
-    """Articles of landed Atom files: the ones without any `item`."""
-    rss_files = _scan(spark, path, "item", ITEM).select("feed_file").distinct()
-    entries = _scan(spark, path, "entry", ENTRY).join(rss_files, "feed_file", "left_anti")
-    no_titles = entries.select("feed_file").distinct().withColumn("channel_title", F.lit(None).cast("string"))
-    author = clean_text(F.get(F.col("author"), 0)["name"])
-    return _articles(entries, no_titles, feed_urls, as_of, author)
+    """Articles of landed Atom files only: the ones without any `item`."""
+    return _read_items(spark, path, feed_urls, as_of).filter("kind = 'entry'").drop("kind")
 
 
 def read_feed_files(spark: SparkSession, path: str, feed_urls: DataFrame, as_of: Column) -> DataFrame:
-    return read_rss(spark, path, feed_urls, as_of).unionByName(read_atom(spark, path, feed_urls, as_of))
+    """Articles of landed feed files of both kinds. `feed_urls` maps feed_file to the feed's own URL."""
+    return _read_items(spark, path, feed_urls, as_of).drop("kind")
