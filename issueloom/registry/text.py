@@ -244,13 +244,14 @@ select page_id, substr(max_by(body, length(body)), 1, 12000) as body from texts
 
 #: Markup put behind the article of a page, by page_id modulo 5, with the text that must come out of it.
 LONG = " ".join(["line"] * 6000)
+DECOY = LONG[:6000]
 NESTED = {
     1: (f'<div class="article-body"><div>cap</div>{LONG}<div><div>x</div></div> end</div>', f"cap{LONG}x end"),
     2: (f'<section><article>a<article>b</article>{LONG}</article></section>', f"ab{LONG}"),
     3: (f'<div id="dic_area"><div><p>q</p></div><br/>{LONG}', f"q{LONG}"),
     # no container by these attributes, and none inside a comment, a script or a menu
-    4: (f'<div data-class="article-body">{LONG}</div><!--<article>{LONG}</article>--><nav><article>{LONG}</article></nav>'
-        f'<script>"<article>{LONG}</article>"</script>', None),
+    4: (f'<div data-class="article-body">{DECOY}</div><!--<article>{DECOY}</article>--><nav><article>{DECOY}</article></nav>'
+        f'<script>"<article>{DECOY}</article>"</script>', None),
 }
 
 
