@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from issueloom.llm.batches import map_texts, shingle_hashes, slices, word_hashes
+from issueloom.llm.batches import map_texts, shingle_hashes, slices, unused, word_hashes
 from issueloom.session import materialize
 
 CONTAINMENT = 0.75
@@ -48,9 +48,8 @@ class ItemIndex:
     """Sketches and full sets of one block of items, as sorted arrays."""
 
     def __init__(self, rows):
-        self.ids = np.array([r["item_id"] for r in rows], np.int64)
+        self.ids = pa.array([r["item_id"] for r in rows], pa.int64())  # an item is its place here: ids may be null or repeated
         self.sizes = np.array([r["n"] for r in rows], np.int64)
-        # two rows of items with one id stay two items
         sets = [np.array(r["shingles"], np.int64).view(np.uint64) for r in rows]
         self.sketch = np.unique(np.concatenate([np.sort(s)[:sketch_length(len(s))] for s in sets]))
         every = np.concatenate(sets)
@@ -79,7 +78,8 @@ class ItemIndex:
                     yield int(doc), int(item), int(count)
 
 
-def _search(docs: DataFrame, index, text: str) -> DataFrame:
+def _search(docs: DataFrame, index) -> DataFrame:
+    """`docs` (key, text) as (key, item_id, n_item, n_shared), a row for each item that a text contains."""
     def work(batches):
         for batch in batches:
             out = []
@@ -89,20 +89,16 @@ def _search(docs: DataFrame, index, text: str) -> DataFrame:
                 out += [(low + d, i, c) for d, i, c in index.value.contained(hashes, owner)]
             rows, items = np.array([o[0] for o in out], np.int64), np.array([o[1] for o in out], np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(rows)), pa.array(index.value.ids[items]),
+                [batch.column(0).take(pa.array(rows)), index.value.ids.take(pa.array(items)),
                  pa.array(index.value.sizes[items]), pa.array([o[2] for o in out], pa.int64())],
-                ["doc_id", "item_id", "n_item", "n_shared"])
+                ["key", "item_id", "n_item", "n_shared"])
 
-    return map_texts(docs.select(F.col("doc_id").cast("bigint"), text), work,
-                     "doc_id bigint, item_id bigint, n_item bigint, n_shared bigint")
+    kind = docs.schema[0].dataType.simpleString()
+    return map_texts(docs, work, f"key {kind}, item_id bigint, n_item bigint, n_shared bigint")
 
 
-def contaminated(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, item_id, n_item, n_shared): documents whose shingles hold at least 75 of 100 of an item's.
-
-    Shingles are five words, A-Z in lower case; a text of fewer words is one shingle; texts without words are in
-    no pair. Repeated rows of either table give repeated pairs. An empty table on either side gives no rows.
-    """
+def _contained(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """`_search` for all items. Where they are several blocks, the pairs of each are written before the next is sent."""
     spark = docs.sparkSession
     listed = item_shingles(items)
     # only item counts and, block by block, item shingles reach the driver
@@ -113,13 +109,33 @@ def contaminated(docs: DataFrame, items: DataFrame, text: str = "text") -> DataF
     parts = []
     for block in range(blocks):
         rows = listed.filter(F.pmod(F.xxhash64("item_id", "shingles"), F.lit(blocks)) == block).collect()
-        if rows:
-            parts.append(_search(docs, spark.sparkContext.broadcast(ItemIndex(rows)), text))
+        if not rows:
+            continue
+        index = spark.sparkContext.broadcast(ItemIndex(rows))
+        parts.append(_search(docs, index))
+        if blocks > 1:
+            parts[-1] = materialize(parts[-1], "contained")
+            index.unpersist()
     if not parts:
-        return spark.createDataFrame([], "doc_id bigint, item_id bigint, n_item bigint, n_shared bigint")
+        kind = docs.schema[0].dataType.simpleString()
+        return spark.createDataFrame([], f"key {kind}, item_id bigint, n_item bigint, n_shared bigint")
     return reduce(DataFrame.unionByName, parts)
 
 
-def without_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """`docs` without those that contain an item. Rows without a doc_id are judged by nothing and stay."""
-    return docs.join(contaminated(docs, items).select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+def contaminated(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
+    """(doc_id, item_id, n_item, n_shared): documents whose shingles hold at least 75 of 100 of an item's.
+
+    Shingles are five words, A-Z in lower case; a text of fewer words is one shingle; texts without words are in
+    no pair. Repeated rows of either table give repeated pairs, and null ids stay null. An empty table on either side gives
+    no rows.
+    """
+    return _contained(docs.select(F.col("doc_id").cast("bigint").alias("key"), F.col(text).alias("text")), items).withColumnRenamed("key", "doc_id")
+
+
+def without_contaminated(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
+    """`docs` without the rows whose text contains an item. A row is judged by its text alone, whatever its id."""
+    digest = F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))
+    found = _contained(docs.select(digest.alias("key"), F.col(text).alias("text")), items).select("key").distinct()
+    mark = unused("_text", docs)
+    hits = materialize(found, "contaminated").select(F.col("key").alias(mark))
+    return docs.withColumn(mark, digest).join(hits, mark, "left_anti").select(docs.columns)

@@ -8,6 +8,8 @@ characters it stands for. Identifiers found in the rewritten text are mapped bac
 import hashlib
 import re
 import unicodedata
+from array import array
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -41,9 +43,10 @@ _ALIKE = {
 _DIGIT_WORD = "(?:%s)" % "|".join(_SPELLED)
 _RUN = re.compile(rf"(?<![A-Za-z0-9])(?:plus[\s-]+)?{_DIGIT_WORD}(?:[\s,-]+(?:(?:dot|point)[\s-]+)?{_DIGIT_WORD}){{2,}}(?![A-Za-z])", re.I)
 _RUN_PART = re.compile(rf"plus|dot|point|{_DIGIT_WORD}", re.I)
-_ANY_DOT = r"\s*[\[({<]?\s*(?:dot)\s*[\])}>]?\s*"
+# blanks are never given back: long runs of them beside a bracket or a word are read once
+_ANY_DOT = r"(?:\s*+[\[({<])?+\s*+dot\s*+(?:[\])}>]\s*+)?"
 _WORD_AT = re.compile(rf"(?<=[A-Za-z0-9])\s+(at)\s+(?=[A-Za-z0-9-]+?(?:{_ANY_DOT}[A-Za-z0-9-]+?)+(?![A-Za-z0-9]))", re.I)
-_BRACKETED = re.compile(r"\s*[\[({<]\s*(at|dot|@|\.)\s*[\])}>]\s*", re.I)
+_BRACKETED = re.compile(r"(?:(?<!\s)\s++)?[\[({<]\s*+(at|dot|@|\.)\s*+[\])}>]\s*+", re.I)
 _WORD_DOT = re.compile(r"(?<=[A-Za-z0-9])\s+(dot)\s+(?=[A-Za-z0-9])", re.I)
 
 
@@ -109,32 +112,56 @@ def plain_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 class Mapped:
-    """Rewritten text with the source range [start[i], stop[i]) of each of its characters."""
+    """Text rewritten from `source`, another `Mapped` (or none: the text itself), with where each character comes from.
 
-    def __init__(self, text: str, start: list[int] | None = None, stop: list[int] | None = None):
-        self.text = text
-        self.start = list(range(len(text))) if start is None else start
-        self.stop = list(range(1, len(text) + 1)) if stop is None else stop
+    Only what changes length is kept: parts in place of matches, in order, and how the text goes on behind each. A character
+    is found by bisection, so memory follows the number of disguises and not the length of the text.
+    """
+
+    def __init__(self, text: str, source: "Mapped | None" = None):
+        self.text, self.origin = text, source
+        # of each part: place and length here, range in the source that it stands for, where the source goes on behind it
+        self.at, self.size, self.low, self.high, self.after = (array("q") for _ in range(5))
+
+    def _part(self, at: int, size: int, low: int, high: int, after: int) -> None:
+        for column, value in zip((self.at, self.size, self.low, self.high, self.after), (at, size, low, high, after)):
+            column.append(value)
 
     def rewrite(self, pattern: re.Pattern, new) -> "Mapped":
         """Put for each match the parts `new(match)`: (string, start, stop), each standing for text[start:stop]."""
-        text, start, stop, at = [], [], [], 0
+        done, text, at, here = Mapped("", self), [], 0, 0
         for m in pattern.finditer(self.text):
             text.append(self.text[at:m.start()])
-            start += self.start[at:m.start()]
-            stop += self.stop[at:m.start()]
-            for put, a, b in new(m):
-                text.append(put)
-                start += [self.start[a]] * len(put)
-                stop += [self.stop[b - 1]] * len(put)
+            here += m.start() - at
             at = m.end()
+            parts = list(new(m))
+            if len(parts) == 1 and len(parts[0][0]) == 1 == m.end() - m.start():  # one character for another moves nothing
+                text.append(parts[0][0])
+                here += 1
+                continue
+            for put, low, high in parts or [("", m.start(), m.end())]:
+                done._part(here, len(put), low, high, m.end())
+                text.append(put)
+                here += len(put)
         if not at:
             return self
         text.append(self.text[at:])
-        return Mapped("".join(text), start + self.start[at:], stop + self.stop[at:])
+        done.text = "".join(text)
+        return done
+
+    def _place(self, i: int) -> tuple[int, int]:
+        """The range of the source that character i stands for."""
+        k = bisect_right(self.at, i) - 1
+        if k < 0:
+            return i, i + 1
+        behind = i - self.at[k] - self.size[k]
+        return (self.low[k], self.high[k]) if behind < 0 else (self.after[k] + behind, self.after[k] + behind + 1)
 
     def source(self, start: int, end: int) -> tuple[int, int]:
-        return self.start[start], self.stop[end - 1]
+        """The range of the first text that [start, end) stands for."""
+        if self.origin is None:
+            return start, end
+        return self.origin.source(self._place(start)[0], self._place(end - 1)[1])
 
 
 def _digits_back(mapped: Mapped) -> Mapped:
@@ -187,11 +214,12 @@ def all_spans(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, in
     """
     plain = plain_spans(text)
     order = lambda s: (KINDS.index(s[0]), s[1], s[2])
-    taken = list(plain)
+    taken = {kind: sorted((a, b) for k, a, b in plain if k == kind) for kind in KINDS}
     for kind, a, b in disguised_spans(text):
-        if all(k != kind or b <= x or y <= a for k, x, y in taken):
-            taken.append((kind, a, b))
-    return sorted(plain, key=order), sorted(taken, key=order)
+        at = bisect_right(taken[kind], (a, b))  # spans of a kind do not overlap, so only its neighbours matter
+        if (at == 0 or taken[kind][at - 1][1] <= a) and (at == len(taken[kind]) or b <= taken[kind][at][0]):
+            taken[kind].insert(at, (a, b))
+    return sorted(plain, key=order), [(kind, a, b) for kind in KINDS for a, b in taken[kind]]
 
 
 def joined(spans) -> str:

@@ -6,6 +6,8 @@ import random
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from issueloom.llm import components, decontam, neardup, passages, suffixes
 from tests.llm.cases import documents, rows_of, shingles, tricky_texts, with_clashes, word_list, words
 
@@ -92,17 +94,24 @@ def test_components(spark):
 
 def test_contaminated(spark, monkeypatch):
     items = [(i, words(700 + i, 12 + 4 * i)) for i in range(12)] + [(20, "short one"), (21, None), (22, ""), (23, items_twice := words(5, 20)), (23, items_twice)]
+    items += [(None, words(6, 25)), (None, words(7, 9)), (None, None)]
     rows = tricky_texts() + [(50 + i, words(800 + i, 2000) + "\n" + t.upper() + " " + words(900 + i, 50)) for i, t in items[:12]]
     rows += [(70 + i, words(820 + i, 100) + " " + edited(t, i, 0.06) + " x") for i, t in items[:12]]
     rows += [(90, "Short\tone"), (91, "short one more"), (92, words(5, 20)), (92, words(5, 20))]
+    rows += [(93, "x " + words(6, 25)), (None, words(7, 9) + " y"), (94, "clean"), (94, words(7, 9))]
     table = spark.createDataFrame(items, "item_id bigint, text string")
-    want = sorted((d, i, len(shingles(t)), len(shingles(t) & shingles(x))) for d, x in rows for i, t in items
-                  if shingles(t) and 100 * len(shingles(t) & shingles(x)) >= 75 * len(shingles(t)))
-    docs = with_clashes(documents(spark, rows))
-    assert rows_of(decontam.contaminated(docs, table)) == sorted(want, key=repr)
-    assert {r.doc_id for r in decontam.without_contaminated(docs, table).collect()} == {i for i, _ in rows} - {w[0] for w in want}
-    monkeypatch.setattr(decontam, "BLOCK_SHINGLES", 40)  # many blocks, the same pairs
-    assert rows_of(decontam.contaminated(docs, table)) == sorted(want, key=repr)
+    holds = lambda x, t: shingles(t) and 100 * len(shingles(t) & shingles(x)) >= 75 * len(shingles(t))
+    want = [(d, i, len(shingles(t)), len(shingles(t) & shingles(x))) for d, x in rows for i, t in items if holds(x, t)]
+    clean = sorted(((d, x) for d, x in rows if not any(holds(x, t) for _, t in items)), key=repr)
+    docs = with_clashes(documents(spark, rows)).withColumn("_text", F.lit("clash")).withColumn("item_id", F.lit("clash"))
+    for block in (decontam.BLOCK_SHINGLES, 40):  # one block or many, the same pairs
+        monkeypatch.setattr(decontam, "BLOCK_SHINGLES", block)
+        assert rows_of(decontam.contaminated(docs, table)) == sorted(want, key=repr)
+        kept = decontam.without_contaminated(docs, table)
+        assert kept.columns == docs.columns and rows_of(kept.select("doc_id", "text")) == clean
+        assert decontam.without_contaminated(docs, table.limit(0)).count() == len(rows)
+    none = spark.createDataFrame([(None, "no item id")], "item_id bigint, text string")
+    assert decontam.contaminated(docs.limit(0), none).count() == 0 and decontam.without_contaminated(docs, none).count() == len(rows)
     assert decontam.contaminated(docs, table.limit(0)).count() == 0 and decontam.contaminated(docs.limit(0), table).count() == 0
 
 

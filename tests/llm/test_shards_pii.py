@@ -1,6 +1,8 @@
 import re
+import time
 import zlib
 
+import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
@@ -86,6 +88,55 @@ def test_long_runs_are_read_in_time():
         pii.all_spans(text)
 
 
+@pytest.mark.parametrize("text", [
+    "(x)" + " " * 2_000_000, "(x)" + "\n" * 2_000_000 + "(", "( " * 200_000, "(" + " " * 1_000_000 + "at", "x at y" + " " * 1_000_000,
+    "x at y" + " " * 500_000 + "(" + " " * 500_000 + "dot", "[" * 500_000, "x " + "at " * 200_000, "dot" * 200_000 + " at " + "dot" * 200_000,
+    "one one one" + " " * 1_000_000 + "x", "plus" + " -" * 500_000, " (at) " * 100_000, "a@b.cc (x) \n " * 30_000 + "two three one at x dot yy"])
+def test_blanks_and_brackets_are_read_in_time(text):
+    begin = time.time()
+    pii.all_spans(text)
+    assert time.time() - begin < 4
+
+
+def test_brackets_after_blanks_of_another_match():
+    for text, span in (("x (at) (dot) y", []), ("ann (at) b.cc", [("email", 0, 13)]), ("ann (at)  (x) b (dot) cc", []),
+                       ("ann\n[at]\t b [ dot ] cc", [("email", 0, 22)]), ("ann ( at ) b (dot) (dot) cc", [])):
+        assert pii.all_spans(text)[1] == span, text
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text("ab1 (x", max_size=30), st.randoms())
+def test_rewritten_text_maps_back_as_two_full_tables_do(text, r):
+    """Against start and stop of every character, over three rewritings."""
+    mapped, start, stop = pii.Mapped(text), list(range(len(text))), list(range(1, len(text) + 1))
+    for pattern in (r"a+", r"\s*\(\s*", r"1|bx"):
+        puts = {}
+
+        def new(m, puts=puts):
+            parts = r.choice([[], [("Q", *m.span())], [("QR", *m.span())], [("Q", m.start(), m.start() + 1), ("STU", m.end() - 1, m.end())]])
+            puts[m.span()] = parts
+            return parts
+        before = mapped.text
+        mapped = mapped.rewrite(re.compile(pattern), new)
+        starts, stops, out, at = [], [], [], 0
+        for (low, high), parts in puts.items():
+            out.append(before[at:low])
+            starts += start[at:low]
+            stops += stop[at:low]
+            for put, a, b in parts:
+                out.append(put)
+                starts += [start[a]] * len(put)
+                stops += [stop[b - 1]] * len(put)
+            at = high
+        start, stop = starts + start[at:], stops + stop[at:]
+        assert mapped.text == "".join(out) + before[at:]
+        for _ in range(10):
+            if mapped.text:
+                a = r.randrange(len(mapped.text))
+                b = r.randint(a + 1, len(mapped.text))
+                assert mapped.source(a, b) == (start[a], stop[b - 1])
+
+
 def test_all_rows(spark):
     rows = tricky_texts() + [(20, "x@y.zz and x at y dot zz"), (20, "x@y.zz and x at y dot zz")]
     got = pii.find(with_clashes(documents(spark, rows))).collect()
