@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from issueloom.registry import sql as q
 from issueloom.registry.base import epoch, query
 from issueloom.session import run_folder
+from issueloom.sources.partitioned import read_store
 from issueloom.streaming import articles as S
 
 
@@ -55,13 +56,24 @@ def stale(t):
     return S.stale_sources(seen, t.as_of).select("user_id", epoch("last_seen").alias("last_seen"))
 
 
-@query("k1_stream_ingest", q.with_articles(
-    "select id, title, source, floor(epoch(published_at))::bigint as published, 1706659200::bigint as seen from articles"))
+@query("k1_stream_ingest", q.with_articles("""
+select id, case when doc_id % 2 = 0 or doc_id % 3 = 0 then title else 'early' end as title, source,
+  floor(epoch(published_at))::bigint as published, floor(epoch(first_seen_at))::bigint + case when doc_id % 3 = 0 then 86400 else 0 end as first,
+  1706659200::bigint as seen, length(content)::bigint as n_content from articles"""))
 def ingested(t):
-    """The article table landed as files, streamed into a store."""
+    """The article table landed in two loads, some articles in both, and streamed into a partitioned store.
+
+    What arrives again keeps its first sighting and body and takes the new title.
+    """
     base = f"{run_folder(t.spark)}/stream-{uuid.uuid4().hex}"
-    t.articles.drop("doc_id", "lang").write.parquet(f"{base}/landing")
-    source = S.landed(t.spark, f"{base}/landing")
-    S.stream_ingest(source, f"{base}/store", f"{base}/state", as_of=t.as_of).awaitTermination()
-    return S.latest_snapshot(t.spark, f"{base}/store").select(
-        "id", "title", "source", epoch("published_at").alias("published"), epoch("updated_at").alias("seen"))
+    a, third = t.articles.drop("lang"), F.col("doc_id") % 3 == 0
+    early = a.filter(~third).withColumn("title", F.lit("early"))
+    late = a.filter(third | (F.col("doc_id") % 2 == 0)).withColumns({
+        "first_seen_at": F.col("first_seen_at") + F.expr("INTERVAL 1 DAY"), "content": F.when(third, F.col("content")).otherwise("")})
+    for load in (early, late):
+        load.drop("doc_id").write.mode("append").parquet(f"{base}/landing")
+        source = S.landed(t.spark, f"{base}/landing")
+        S.stream_ingest(source, f"{base}/store", f"{base}/state", as_of=t.as_of).awaitTermination()
+    return read_store(t.spark, f"{base}/store").select(
+        "id", "title", "source", epoch("published_at").alias("published"), epoch("first_seen_at").alias("first"),
+        epoch("updated_at").alias("seen"), F.length("content").cast("bigint").alias("n_content"))

@@ -70,9 +70,9 @@ def upsert_articles(current: DataFrame, new: DataFrame) -> DataFrame:
 KEPT_ON_INGEST = ["first_seen_at", "content", "content_fetched_at", "content_fetch_status", "content_fetch_error"]
 
 
-def merge_ingest(stored: DataFrame, incoming: DataFrame, as_of: Column, arrival: Column | None = None,
-                 keep_exclusion: bool = False) -> DataFrame:
-    """Merge freshly read items into the stored articles.
+def merge_arrivals(stored: DataFrame, incoming: DataFrame, as_of: Column, arrival: Column | None = None,
+                   keep_exclusion: bool = False) -> DataFrame:
+    """Freshly read items as the articles they become: only rows that arrive.
 
     A known article keeps its first sighting, body and fetch state, its vector if the item has none, its author
     and image if the item's are blank; everything else comes from the item, the exclusion flag included unless
@@ -98,9 +98,15 @@ def merge_ingest(stored: DataFrame, incoming: DataFrame, as_of: Column, arrival:
             return F.when(known & is_blank(n(c)), s(c)).otherwise(n(c))
         return n(c)
 
-    rows = latest.alias("n").join(touched.alias("s"), F.col("s.id") == F.col("n.id"), "left").select(
+    return latest.alias("n").join(touched.alias("s"), F.col("s.id") == F.col("n.id"), "left").select(
         *[merged(c).alias(c) for c in columns])
-    return rows.unionByName(stored.join(latest.select("id"), "id", "left_anti"))
+
+
+def merge_ingest(stored: DataFrame, incoming: DataFrame, as_of: Column, arrival: Column | None = None,
+                 keep_exclusion: bool = False) -> DataFrame:
+    """The stored articles with freshly read items merged in (`merge_arrivals`)."""
+    arrived = merge_arrivals(stored, incoming, as_of, arrival, keep_exclusion)
+    return arrived.unionByName(stored.join(incoming.select("id"), "id", "left_anti"))
 
 
 def write_groups(groups: DataFrame, members: DataFrame, path: str) -> None:

@@ -5,6 +5,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from issueloom.schema import ARTICLES
+from issueloom.sources.partitioned import merge_batch
 from issueloom.sources.store import merge_ingest
 
 KOREA_OFFSET = "15 hours"  # Korea midnight is 15:00 UTC
@@ -17,16 +18,15 @@ def landed(spark: SparkSession, path: str, schema: StructType = ARTICLES, patter
 
 def stream_ingest(source: DataFrame, store: str, checkpoint: str, keep_exclusion: bool = False, as_of: Column | None = None
                   ) -> StreamingQuery:
-    """Merge each micro-batch into the article store under `store`.
+    """Merge each micro-batch into the partitioned article store under `store`.
 
-    A batch writes a snapshot named by its number and reads the one before, so with `as_of` given a replayed batch writes
-    the same snapshot again. Snapshots before that one are removed.
+    A batch writes only the partitions it touches, and reads the store as the batch before it left it; so with `as_of`
+    given a replayed batch writes the same rows again. Read the store with `read_store`.
     """
     def merge(batch: DataFrame, batch_id: int) -> None:
-        stored = before(batch.sparkSession, store, batch_id, ARTICLES)
-        merged = merge_ingest(stored, batch, F.current_timestamp() if as_of is None else as_of, keep_exclusion=keep_exclusion)
-        merged.write.mode("overwrite").parquet(f"{store}/{batch_id}")
-        prune(batch.sparkSession, store, batch_id)
+        now = F.current_timestamp() if as_of is None else as_of
+        merge_batch(batch.sparkSession, store, batch_id, batch,
+                    lambda stored, arrived: merge_ingest(stored, arrived, now, keep_exclusion=keep_exclusion))
 
     return (source.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
