@@ -1,6 +1,6 @@
 """From similar articles to issue groups."""
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from issueloom.functions.narrative import brief_summary, seed_summary
 from issueloom.functions.signals import impact, is_low_value
@@ -105,29 +105,73 @@ def group_issues(articles: DataFrame, threshold: float = GROUP_THRESHOLD, window
                                          F.lit(1.0).alias("score")))
 
 
+MARGIN = 0.05  # means this far below the threshold are still told from each other
+
+
+def _dot(x: str, y: str) -> Column:
+    return F.aggregate(F.zip_with(x, y, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+
+
+def _meet_means(nodes: DataFrame, means: DataFrame, threshold: float, margin: float) -> DataFrame:
+    """(window, article_id, best, best_score, other): the mean each article is most like, if one reaches the threshold, and a
+    bound on what any mean but its own reaches, by the two best; no mean at all within the margin counts as one at its edge."""
+    both = with_blocks(nodes.select("window", "id", "rank", "vector", F.lit(0).alias("side")).unionByName(
+        means.select("window", "id", F.lit(0).cast("bigint").alias("rank"), "vector", F.lit(1).alias("side"))))
+    both = materialize(both, "refine")
+    pairs = similar_pairs(both.filter("side = 0"), both.filter("side = 1"), threshold - margin, ordered=False)
+    order = Window.partitionBy("window", "later").orderBy(F.desc("score"), F.desc("earlier"))
+    two = pairs.withColumn("turn", F.row_number().over(order)).filter("turn <= 2")
+    top = two.groupBy("window", F.col("later").alias("article_id")).agg(
+        F.max(F.struct("score", "earlier")).alias("one"), F.max(F.when(F.col("turn") == 2, F.col("score"))).alias("two"))
+    return top.select("window", "article_id", F.when(F.col("one.score") >= threshold, F.col("one.earlier")).alias("best"),
+                      F.col("one.score").alias("best_score"), F.coalesce("two", F.lit(threshold - margin)).alias("second"))
+
+
 def refine_groups(grouped: DataFrame, nodes: DataFrame, articles: DataFrame, threshold: float = GROUP_THRESHOLD,
-                  passes: int = 1) -> DataFrame:
+                  passes: int = 1, margin: float = MARGIN) -> DataFrame:
     """Move each article to the group whose mean vector it is most like, `passes` times.
 
     An article that reaches no mean stays where it is. Means are plain averages: the mean of a loose group is
-    short, and harder to reach.
+    short, and harder to reach. From the second pass on an article meets the means of its window only if it may move. No
+    score of a unit vector changes by more than its mean has moved, so what the other means reached before and the largest move
+    of the window bound what they reach now; an article whose own mean is still above that bound stays without asking.
     """
+    state = materialize(grouped.select("window", "article_id", "leader_id", "score", F.lit(None).cast("double").alias("other")), "groups")
+    old = None
     for _ in range(passes):
-        members = grouped.select(F.col("leader_id").alias("group_id"), "article_id")
-        windows = grouped.select("leader_id", "window").distinct()
-        means = centroids(members, articles).withColumnsRenamed({"group_id": "id"}).join(
-            windows.withColumnRenamed("leader_id", "id"), "id").withColumn("rank", F.lit(0).cast("bigint"))
-        both = with_blocks(nodes.select("window", "id", "rank", "vector", F.lit(0).alias("side")).unionByName(
-            means.select("window", "id", "rank", "vector", F.lit(1).alias("side"))))
-        both = materialize(both, "refine")
-        best = (similar_pairs(both.filter("side = 0"), both.filter("side = 1"), threshold, ordered=False)
-                .groupBy("window", F.col("later").alias("article_id"))
-                .agg(F.max_by(F.struct("earlier", "score"), F.struct("score", "earlier")).alias("b")))
-        grouped = materialize(
-            grouped.join(best, ["window", "article_id"], "left").select(
-                "window", "article_id", F.coalesce("b.earlier", "leader_id").alias("leader_id"),
-                F.coalesce("b.score", "score").alias("score")), "groups")
-    return grouped
+        members = state.select(F.col("leader_id").alias("group_id"), "article_id")
+        windows = state.select("leader_id", "window").distinct()
+        means = materialize(centroids(members, articles).withColumnRenamed("group_id", "id").join(
+            windows.withColumnRenamed("leader_id", "id"), "id"), "means")
+        if old is None:
+            asked = state.withColumn("own", F.lit(None).cast("double"))
+        else:
+            moved = means.join(old.select("window", "id", F.col("vector").alias("was")), ["window", "id"]).groupBy("window").agg(
+                F.max(F.sqrt(F.aggregate(F.zip_with("vector", "was", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v))).alias("moved"))
+            own = (state.join(nodes.select("window", F.col("id").alias("article_id"), "vector"), ["window", "article_id"])
+                   .join(means.select("window", F.col("id").alias("leader_id"), F.col("vector").alias("mean")), ["window", "leader_id"])
+                   .select("window", "article_id", F.round(_dot("vector", "mean"), 9).alias("own")))
+            # vectors that were given, not made here, may be longer than one: the bound grows with them
+            length = nodes.select("window", F.sqrt(_dot("vector", "vector")).alias("n")).groupBy("window").agg(F.max("n").alias("long"))
+            asked = state.join(own, ["window", "article_id"], "left").join(moved, "window", "left").join(length, "window", "left").withColumn(
+                "other", F.col("other") + F.coalesce("moved", F.lit(0.0)) * F.coalesce("long", F.lit(1.0)) + 1e-9).drop("moved", "long")
+        asked = materialize(asked, "bounds")
+        above = (F.col("own") >= threshold) & (F.col("own") > F.col("other"))
+        below = (F.col("own") < threshold) & (F.col("other") < threshold)
+        may_move = ~F.coalesce(above | below, F.lit(False))
+        probes = nodes.join(asked.filter(may_move).select("window", F.col("article_id").alias("id")), ["window", "id"], "left_semi")
+        met = _meet_means(probes, means, threshold, margin)
+        joined = asked.join(met, ["window", "article_id"], "left")
+        here = F.coalesce(F.col("best"), F.col("leader_id"))
+        # of the two best the other one, seen from the mean the article is with now
+        rival = F.when(F.col("best").isNotNull(), F.col("second")).otherwise(F.coalesce("best_score", F.lit(threshold - margin)))
+        state = materialize(joined.select(
+            "window", "article_id", here.alias("leader_id"),
+            F.when(may_move, F.when(F.col("best").isNotNull(), F.col("best_score")).otherwise(F.col("score")))
+            .when(above, F.col("own")).otherwise(F.col("score")).alias("score"),
+            F.when(may_move, rival).otherwise(F.col("other")).alias("other")), "groups")
+        old = means
+    return state.drop("other")
 
 
 def as_members(grouped: DataFrame) -> DataFrame:

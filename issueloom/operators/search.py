@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from issueloom.functions.dates import korea_date
 from issueloom.functions.text import clean_text, is_blank, normalize_title, or_empty, preview, strip
 from issueloom.rules import KNOWN_CATEGORIES, UNCATEGORISED
+from issueloom.session import materialize
 
 ALL = "전체"
 
@@ -72,14 +73,48 @@ def article_detail() -> list[Column]:
     ]
 
 
-def paginate(df: DataFrame, order: list[Column], page: int, size: int, least: int = 10, most: int = 100
-             ) -> tuple[DataFrame, dict]:
-    """One page and its numbers. A page past the end is the last page; `order` must be total."""
+SHALLOW_ROWS = 10_000  # a page that ends before this is what a bounded top list gives
+SLICE_ROWS = 1_000_000
+
+
+def ranks_between(df: DataFrame, order: list[Column], key: list[str], by: list[str], low: int, high: int, total: int,
+                  slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """The rows of `df` that stand at places low .. high - 1 in `order`, which must be total, given its number of rows.
+
+    Keys alone are dealt to ranges of about `slice_rows` rows, split by a sample of them; the ranges are counted, and only those
+    that the places fall into are put in order. `by` names the columns that `order` reads and `key` the ones that tell rows apart.
+    """
+    count = max(1, -(-total // slice_rows))
+    columns = list(dict.fromkeys([*by, *key]))
+    sliced = materialize(df.select(*columns).repartitionByRange(count, *order).withColumn("_slice", F.spark_partition_id()), "page-slices")
+    sizes = sorted((r["_slice"], r["count"]) for r in sliced.groupBy("_slice").count().collect())  # a row a range
+    wanted, before, seen = [], 0, 0
+    for number, size in sizes:
+        if seen < high and low < seen + size:
+            before = before if wanted else seen
+            wanted.append(number)
+        seen += size
+    chosen = sliced.filter(F.col("_slice").isin(wanted)).orderBy(*order).offset(low - before).limit(high - low)
+    return df.join(F.broadcast(chosen.select(*key)), key, "left_semi").orderBy(*order)  # a page of keys
+
+
+def paginate(df: DataFrame, order: list[Column], page: int, size: int, least: int = 10, most: int = 100,
+             key: list[str] | None = None, by: list[str] | None = None, shallow: int = SHALLOW_ROWS,
+             slice_rows: int = SLICE_ROWS) -> tuple[DataFrame, dict]:
+    """One page and its numbers. A page past the end is the last page; `order` must be total.
+
+    With `key`, the columns that tell rows apart, and `by`, those that `order` reads, a page behind the first `shallow` rows is
+    found by counting ranges (`ranks_between`).
+    """
     size = min(max(size, least), most)
     total = df.count()
     pages = max(1, -(-total // size))
     page = min(max(page, 1), pages)
-    rows = df.orderBy(*order).offset((page - 1) * size).limit(size)
+    low, high = (page - 1) * size, min(page * size, total)
+    if key is None or high <= shallow:
+        rows = df.orderBy(*order).offset(low).limit(size)
+    else:
+        rows = ranks_between(df, order, key, by or df.columns, low, high, total, slice_rows)
     return rows, {"page": page, "page_size": size, "page_count": pages, "total_count": total}
 
 

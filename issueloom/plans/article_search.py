@@ -20,5 +20,5 @@ class ArticleSearch:
 def article_search(articles: DataFrame, groups: DataFrame, members: DataFrame, page: int = 1, size: int = 20, **filters
                    ) -> ArticleSearch:
     hits = search_articles(article_group(articles, groups, members), **filters)
-    rows, numbers = paginate(hits, by_recency(), page, size)
+    rows, numbers = paginate(hits, by_recency(), page, size, key=["id"], by=["published_at", "first_seen_at", "id"])
     return ArticleSearch(rows.select(*article_list_item()), numbers, category_facet(groups), source_facet(articles))

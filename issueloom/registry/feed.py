@@ -1,6 +1,6 @@
 """The brief feed, search, facets, edits, tracking and weekly summaries."""
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from issueloom.functions.dates import day_key, weekly_key
 from issueloom.operators import edits as E
@@ -16,6 +16,7 @@ from issueloom.registry import issues as R
 from issueloom.registry import sql as q
 from issueloom.registry.base import epoch, query
 from issueloom.session import materialize
+from issueloom.sources.store import by_recency
 
 
 def briefs_sql(groups="groups", members="members"):
@@ -168,6 +169,25 @@ def search_page(t):
                                F.lit(n["total_count"]).alias("total_count"))
 
 
+@query("f9_deep_page", q.with_articles("""
+select id, k::bigint as place, page, page_count from (
+  select id, row_number() over (order by published_at desc, first_seen_at desc, id) as k, count(*) over () as n from articles),
+  (select unnest(range(1, 3)) as which),
+  lateral (select case which when 1 then ceil(n / 20.0)::int else (ceil(n / 20.0) / 2)::int end as page, ceil(n / 20.0)::int as page_count)
+where k > (page - 1) * 20 and k <= page * 20"""))
+def deep_pages(t):
+    """The last page and the one in the middle of all articles, each out of the ranges of keys that hold it."""
+    out, whole = None, -(-t.articles.count() // 20)
+    for page in (10**9, round(whole / 2)):
+        rows, n = S.paginate(t.articles, by_recency(), page, 20, key=["id"], by=["published_at", "first_seen_at", "id"], shallow=0, slice_rows=150)
+        first = (n["page"] - 1) * n["page_size"]
+        order = Window.orderBy(*by_recency())  # over one page
+        part = rows.select("id", (F.row_number().over(order) + first).cast("bigint").alias("place"), F.lit(n["page"]).alias("page"),
+                           F.lit(n["page_count"]).alias("page_count"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 HAY = ("lower(title || ' ' || category || ' ' || source || ' ' || array_to_string(list_distinct(publishers), ' ') || ' ' || summary || ' ' || "
        "array_to_string(list_transform(links, lambda l: l.title || ' ' || l.source || ' ' || l.publisher), ' ') || ' ' || array_to_string(keywords, ' '))")
 

@@ -56,6 +56,20 @@ def stale(t):
     return S.stale_sources(seen, t.as_of).select("user_id", epoch("last_seen").alias("last_seen"))
 
 
+@query("k5_stream_silences", """
+with e as (select user_id, ts, lead(ts) over (partition by user_id order by ts) as n from events),
+w as (select max(ts) - interval 2 hours as mark from events)
+select user_id, floor(epoch(ts))::bigint as last_seen, floor(epoch(ts + interval 12 hours))::bigint as silent_from from e, w
+where (n is null or n > ts + interval 12 hours) and ts + interval 12 hours < mark""")
+def fell_silent(t):
+    base = f"{run_folder(t.spark)}/stream-{uuid.uuid4().hex}"
+    found = S.silences(event_stream(t), "at", "user_id")
+    found.writeStream.format("parquet").option("path", f"{base}/table").option(
+        "checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.schema(found.schema).parquet(f"{base}/table").select(
+        "user_id", epoch("last_seen").alias("last_seen"), epoch("silent_from").alias("silent_from"))
+
+
 @query("k1_stream_ingest", q.with_articles("""
 select id, case when doc_id % 2 = 0 or doc_id % 3 = 0 then title else 'early' end as title, source,
   floor(epoch(published_at))::bigint as published, floor(epoch(first_seen_at))::bigint + case when doc_id % 3 = 0 then 86400 else 0 end as first,

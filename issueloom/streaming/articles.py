@@ -1,7 +1,10 @@
 """Streams of arriving articles and events."""
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupStateTimeout
 from pyspark.sql.types import StructType
 
 from issueloom.schema import ARTICLES
@@ -86,6 +89,42 @@ def stale_sources(seen: DataFrame, as_of: Column, hours: int = 12) -> DataFrame:
     return seen.filter(F.col("last_seen") < as_of - F.expr(f"INTERVAL {hours} HOURS"))
 
 
+def silences(source: DataFrame, time: str, by: str, hours: int = 12, delay: str = "2 hours") -> DataFrame:
+    """(`by`, last_seen, silent_from): each time a source falls silent for longer than `hours`, as event time passes that point.
+
+    A source's state are the stretches of its arrivals that `delay` may still join or part, a few numbers; stretches whose
+    silence no late arrival can fill any more are given out and forgotten. A timer on event time wakes sources that no longer
+    arrive, so a silence is reported when it happens and not when someone asks.
+    """
+    wait = hours * 3_600_000
+    kind = source.schema[by].dataType.simpleString()
+
+    def work(key, frames, state):
+        spans = [list(s) for s in zip(*state.get)] if state.exists else []  # (first, last) in milliseconds, more than `wait` apart
+        times = np.unique(np.concatenate([f["_at"].to_numpy(np.int64) for f in frames] or [np.zeros(0, np.int64)]))
+        merged: list[list[int]] = []
+        for first, last in sorted(spans + [[t, t] for t in times.tolist()]):
+            if merged and first <= merged[-1][1] + wait:
+                merged[-1][1] = max(merged[-1][1], last)
+            else:
+                merged.append([first, last])
+        now, out = state.getCurrentWatermarkMs(), []
+        while merged and merged[0][1] + wait < now:
+            out.append(merged.pop(0)[1])
+        if merged:
+            state.update(([m[0] for m in merged], [m[1] for m in merged]))
+            state.setTimeoutTimestamp(max(merged[0][1] + wait, now + 1))
+        elif state.exists:
+            state.remove()
+        if out:
+            yield pd.DataFrame({by: [key[0]] * len(out), "last_ms": out})
+
+    timed = source.withWatermark(time, delay).select(F.col(by), F.col(time), F.unix_millis(time).alias("_at"))
+    found = timed.groupBy(by).applyInPandasWithState(
+        work, f"{by} {kind}, last_ms bigint", "first array<bigint>, last array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
+    return found.select(by, F.timestamp_millis("last_ms").alias("last_seen"), F.timestamp_millis(F.col("last_ms") + wait).alias("silent_from"))
+
+
 def run_to_table(stream: DataFrame, path: str, checkpoint: str, keys: list[str], mode: str = "update") -> StreamingQuery:
     """Run an aggregate stream over what has landed into snapshots under `path`: changed rows replace those of equal `keys`.
 
