@@ -400,42 +400,62 @@ def replied(t):
         "date", (F.col("i") + 1).alias("place"), "x.title", "x.summary")
 
 
-@query("b32_render_prompt")
+@query("b32_render_prompt", q.with_groups("""
+select strftime(t.period, '%Y-%m-%d') as date, '요약 대상: 전날' || chr(10) || '기간 키: ' || strftime(t.period, '%Y-%m-%d') || chr(10) || '전체 이슈 수: ' || t.n_issues
+  || chr(10) || '전체 기사 수: ' || t.n_articles || chr(10) || '전체 출처 수: ' || t.n_sources || chr(10) || chr(10) || '카테고리 분포:' || chr(10) || coalesce(shares, '')
+  || chr(10) || chr(10) || '주요 이슈:' || chr(10) || coalesce(lines, '') as prompt
+from (select period, count(distinct c.group_id) as n_issues, count(distinct m.article_id) as n_articles, count(distinct lower(m.source_name)) as n_sources
+  from candidates c left join members m using (group_id) group by period) t
+left join (select period, string_agg('- ' || category || ': 이슈 ' || issue_count || '건, 기사 ' || article_count || '건', chr(10) order by place) as shares
+  from top_categories where place <= 8 group by period) s using (period)
+left join (select period, string_agg(place || '. [' || category || '] ' || title || chr(10) || '기사수: ' || articles || ', 점수: ' || score || ', 출처: '
+      || case when len(sources) = 0 then '출처 없음' else array_to_string(sources[1:4], ', ') end || chr(10) || '주요 키워드: '
+      || case when len(keywords) = 0 then '키워드 없음' else array_to_string(keywords[1:8], ', ') end || chr(10) || '기존 요약: ' || summary || chr(10)
+      || '근거 기사:' || chr(10) || coalesce(proof, '근거 기사 없음'), chr(10) || chr(10) order by place) as lines
+  from top_issues left join (
+    select period, place, string_agg('- 근거 ' || pos || ': ' || source || chr(10) || '  제목: ' || title || chr(10) || '  RSS 요약: ' || brief || chr(10)
+        || '  본문 일부: ' || excerpt, chr(10) order by pos) as proof from prompt_evidence group by all) e using (period, place)
+  where place <= 12 group by period) i using (period)""", *TOP_ROWS, R.TOP_ARTICLES, f"""
+prompt_evidence as (
+  select period, place, pos, {q.plain('source')} as source, {q.plain('title')} as title,
+    {q.cut(q.cut(q.plain('summary'), 350), 350)} as brief, {q.cut(q.cut(q.plain('content'), 1000), 900)} as excerpt from (
+    select x.period, x.place, a.*, row_number() over (partition by x.period, x.place
+      order by {q.strip('a.content')} = '', a.published_at desc, a.id) as pos
+    from (select distinct period, place, article_id from top_articles) x join articles a on a.id = x.article_id) where pos <= 2)"""))
 def prompts(t):
     s = R.summaries_of(t)
     return render_prompt(s.summaries, s.evidence)
 
 
 def weeks(t):
-    ends = [("2024-01-07",), ("2024-01-14",), ("2024-01-21",), ("2024-01-28",), ("2024-03-03",)]
+    ends = [("2024-01-07",), ("2024-01-14",), ("2024-01-21",), ("2024-01-28",), ("2024-02-04",), ("2024-03-03",)]
     return t.spark.createDataFrame(ends, "e string").select(F.to_date("e").alias("week_end"))
 
 
 @query("g8_week_days", q.with_groups("""
 select e as week_end, d::date as day, coalesce(n, 0)::int as issues from (
-  select (date '2024-01-07' + (i * 7)::int)::date as e from (select unnest(range(4)) as i)) w, lateral (select unnest(generate_series(e - interval 6 days, e, interval 1 day)) as d) x
+  select (date '2024-01-07' + (i * 7)::int)::date as e from (select unnest(range(5)) as i)) w, lateral (select unnest(generate_series(e - interval 6 days, e, interval 1 day)) as d) x
 left join (select period, count(*) as n from candidates group by 1) c on c.period = d::date""", *R.BASE))
 def spine(t):
     candidates, _, _ = R.candidate_parts(t)
     counts = candidates.groupBy("period").agg(F.count("*").cast("int").alias("issues"))
-    return weekly.week_days(weeks(t).filter("week_end < '2024-02-01'")).join(
+    return weekly.week_days(weeks(t).filter("week_end < '2024-02-10'")).join(
         counts, F.col("day") == F.col("period"), "left").select("week_end", "day", F.coalesce("issues", F.lit(0)).alias("issues"))
 
 
 WEEK = """
 week_rows as (
   select *, (period + (7 - isodow(period))::int)::date as week_end, lower(title) as k from top_issues
-  where period between date '2024-01-01' and date '2024-01-28'),
+  where period between date '2024-01-01' and date '2024-02-04'),
 week_sources as (
   select week_end, k, list(source order by period, place, i)[1:4] as sources from (
     select *, row_number() over (partition by week_end, k, lower(source) order by period, place, i) as n from (
       select week_end, k, period, place, unnest(sources) as source, unnest(range(len(sources))) as i from week_rows)) where n = 1 group by all),
+week_words as (
+  select week_end, k, lower(w) as lw, count(*) as n, arg_min(w, (period, place, i)) as w from (
+    select week_end, k, period, place, unnest(keywords) as w, unnest(range(len(keywords))) as i from week_rows) where trim(w) <> '' group by all),
 week_keywords as (
-  select week_end, k, list(w order by n desc, w)[1:8] as keywords from (
-    select week_end, k, unnest(keywords) as w from week_rows) join (
-    select week_end, k, w, count(*) as n from (select week_end, k, unnest(keywords) as w from week_rows) group by all) using (week_end, k, w)
-  group by all),
-week_keywords2 as (select week_end, k, list_distinct(keywords) as keywords from week_keywords),
+  select week_end, k, list(w order by n desc, w)[1:8] as keywords from week_words group by all),
 week_articles as (
   select r.week_end, r.k, count(distinct a.article_id)::int as articles from week_rows r
   join top_articles a on a.period = r.period and a.place = r.place group by all),
@@ -444,25 +464,29 @@ week_issues as (
     select *, row_number() over (partition by week_end order by score desc, articles desc, k) as wplace from (
       select r.week_end, r.k, arg_min(title, (-r.score, -r.articles, r.period, r.place)) as title,
         arg_min(category, (-r.score, -r.articles, r.period, r.place)) as category, any_value(a.articles) as articles,
+        arg_min(summary, (-r.score, -r.articles, r.period, r.place)) as summary, any_value(w.keywords) as keywords,
         least(100, max(r.score) + least(20, (count(*) - 1) * 5))::int as score, any_value(s.sources) as sources
-      from week_rows r join week_articles a using (week_end, k) join week_sources s using (week_end, k) group by all)) where wplace <= 20),
+      from week_rows r join week_articles a using (week_end, k) join week_sources s using (week_end, k)
+        left join week_keywords w using (week_end, k) group by all)) where wplace <= 20),
 week_categories as (
   select *, coalesce(lead || ' 이슈를 중심으로 ', category || ' 분야에서 ') || issue_count || '개 이슈와 ' || article_count || '개 기사가 확인됐습니다.' as text from (
     select c.*, row_number() over (partition by c.week_end order by issue_count desc, c.category) as place,
       (select arg_min(i.title, i.wplace) from week_issues i where i.week_end = c.week_end and i.category = c.category) as lead
     from (select (period + (7 - isodow(period))::int)::date as week_end, category, sum(issue_count)::int as issue_count,
-        sum(article_count)::int as article_count from top_categories where period <= date '2024-01-28' group by all) c) where place <= 5)
+        sum(article_count)::int as article_count from top_categories where period <= date '2024-02-04' group by all) c) where place <= 5)
 """
 WEEK_PARTS = (*TOP_ROWS, R.TOP_ARTICLES, WEEK)
 
 
 @query("e10_weekly_issues", q.with_groups("""
-select week_end, wplace::int as place, title, category, articles as article_count, score, array_to_string(sources, '|') as sources from week_issues""", *WEEK_PARTS))
+select week_end, wplace::int as place, title, category, articles as article_count, score, array_to_string(sources, '|') as sources,
+  array_to_string(coalesce(keywords, []::varchar[]), '|') as keywords, summary from week_issues""", *WEEK_PARTS))
 def week_issues(t):
     s = R.summaries_of(t)
     chosen = weekly.week_summaries(weeks(t), s.summaries)
     out = weekly.weekly_issues(weekly.daily_issue_rows(chosen), s.issue_articles)
-    return out.select("week_end", "place", "title", "category", "article_count", "score", F.array_join("sources", "|").alias("sources"))
+    return out.select("week_end", "place", "title", "category", "article_count", "score", F.array_join("sources", "|").alias("sources"),
+                      F.array_join("keywords", "|").alias("keywords"), "summary")
 
 
 @query("e11_d9_j3_weekly_summaries", q.with_groups("""
@@ -475,7 +499,7 @@ from (select (period + (7 - isodow(period))::int)::date as week_end, count(*)::i
     sum(article_count)::int as article_count, max(source_count) as best_day from (
       select period, count(distinct c.group_id)::int as issue_count, count(distinct m.article_id)::int as article_count,
         count(distinct lower(m.source_name))::int as source_count from candidates c left join members m using (group_id) group by period)
-    where period <= date '2024-01-28' group by all) t
+    where period <= date '2024-02-04' group by all) t
 join (select week_end, count(*) as n_issues, arg_min(title, wplace) as first_title from week_issues group by all) i using (week_end)
 join (select week_end, count(distinct s) as named from (select week_end, unnest(sources) as s from week_issues) group by all) s using (week_end)
 join (select week_end, list(category order by place) as names, list(text order by place) as texts from week_categories group by all) c using (week_end)

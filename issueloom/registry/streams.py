@@ -23,13 +23,17 @@ def finished(t, stream, keys):
     return S.latest_snapshot(t.spark, f"{base}/table", stream.schema)
 
 
-@query("k2_stream_dedupe", "select distinct user_id from events")
+@query("k2_stream_dedupe", q.with_articles("select id, floor(epoch(published_at))::bigint as published, title from articles"))
 def deduped(t):
+    """The article table landed twice over, in files of both, and streamed: each id once."""
     base = f"{run_folder(t.spark)}/stream-{uuid.uuid4().hex}"
-    first = S.stream_dedupe(event_stream(t), "user_id", "at").select("user_id")
+    a = t.articles.drop("doc_id", "lang")
+    for _ in range(2):
+        a.coalesce(2).write.mode("append").parquet(f"{base}/landing")
+    first = S.stream_dedupe(S.landed(t.spark, f"{base}/landing", files=1)).select("id", "published_at", "title")
     first.writeStream.format("parquet").option("path", f"{base}/table").option(
         "checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
-    return t.spark.read.schema(first.schema).parquet(f"{base}/table")
+    return t.spark.read.schema(first.schema).parquet(f"{base}/table").select("id", epoch("published_at").alias("published"), "title")
 
 
 @query("k3_stream_daily_counts", f"""

@@ -143,3 +143,16 @@ GROUP_THRESHOLD = 0.78
 # Derived: the HTML 4 character entities plus `apos`.
 # ---------------------------------------------------------------------------
 HTML_ENTITIES = {**{name: chr(code) for name, code in name2codepoint.items()}, "apos": "'"}
+
+# (code, level, text) of the warnings about the state of the stores, in the order they are listed
+WARNINGS = [
+    ("rss_feed_empty", "error", "등록된 RSS 피드가 없습니다."),
+    ("article_empty", "warning", "저장된 뉴스 기사가 없습니다."),
+    ("article_update_stale", "warning", "최근 기사 갱신이 {stale_article_hours}시간 이상 지연되었습니다."),
+    ("summary_empty", "warning", "저장된 전날/주간 요약이 없습니다."),
+    ("summary_stale", "warning", "최근 요약 생성이 {stale_summary_hours}시간 이상 지연되었습니다."),
+    ("pipeline_failed", "error", "마지막 뉴스 수집 파이프라인이 실패했습니다."),
+    ("pipeline_long_running", "warning", "뉴스 수집 파이프라인이 {long_run_minutes}분 이상 실행 중입니다."),
+    ("content_fetch_failure_rate_high", "warning", "본문 수집 실패율이 {{percent}}입니다."),
+    ("duplicate_article_rate_high", "info", "중복으로 판단되는 기사 비율이 {{percent}}입니다."),
+]
