@@ -9,10 +9,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from issueloom.llm.batches import map_texts, slices, unused, word_hashes
+from issueloom.session import materialize
 
 PASSAGE_WORDS = 64
 TRAIN_ROWS = 2000  # labelled documents that are learnt from at most
-TRAIN_PASSAGES = 128  # passages of one of them that are learnt from at most, evenly spread; scores use all
+TRAIN_PASSAGES = 400_000  # passages of all of them together: rows that do not fit any more are not learnt from, texts are never cut
 HIDDEN, GATE, STEPS, RATE, DECAY = 16, 8, 150, 0.02, 1e-4
 
 _CLASSES = ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", ".", ",", "!", "|", "#$%&*@^~=+<>_/\\", " ",
@@ -118,29 +119,35 @@ def held_out(key: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
-def training_bags(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS):
-    """(features, passages, targets) of at most `rows` labelled documents that are not held out.
+def training_bags(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, passages: int = TRAIN_PASSAGES):
+    """(features, passages, targets) of at most `rows` labelled documents that are not held out, each with its whole text.
 
-    Which ones is decided by a hash of their ids. A document with several labels has their mean as its target.
+    Which ones is decided by a hash of their ids; one whose text would bring the sum above `passages` passages is passed over.
+    A document with several labels has their mean as its target, one with several rows its least text.
     """
     picked = (labels.filter(~held_out() & F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id")
               .agg(F.avg("quality").alias("target")).join(docs.select("doc_id"), "doc_id", "left_semi")
               .orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(rows))
-    bags = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # the bound above keeps this side small
+    chosen = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id")  # bounded above
+    chosen = chosen.groupBy("doc_id", "target").agg(F.min("text").alias("text")).select("doc_id", "text", "target")
 
     def work(batches):
         for batch in batches:
             for low, high, data, offsets in slices(batch.column(1)):
-                x, passages = passage_features(data, offsets)
-                ends = np.cumsum(passages)
-                bags = [x[b - n:b][np.unique(np.linspace(0, n - 1, min(n, TRAIN_PASSAGES)).astype(int))].ravel()
-                        for b, n in zip(ends, passages)]
+                x, counts = passage_features(data, offsets)
+                bags = [x[b - n:b].ravel() for b, n in zip(np.cumsum(counts), counts)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(low, high - low), batch.column(2).slice(low, high - low),
-                     pa.array(bags, pa.list_(pa.float32()))], ["doc_id", "target", "bag"])
-
-    got = map_texts(bags, work, "doc_id bigint, target double, bag array<float>").toArrow().to_pydict()
-    order = sorted(range(len(got["doc_id"])), key=lambda i: (got["doc_id"][i], got["bag"][i]))[:rows]
+                    [batch.column(0).slice(low, high - low), batch.column(2).slice(low, high - low), pa.array(counts, pa.int64()),
+                     pa.array(bags, pa.list_(pa.float32()))], ["doc_id", "target", "n", "bag"])
+
+    bags = materialize(map_texts(chosen, work, "doc_id bigint, target double, n bigint, bag array<float>"), "training-bags")
+    fits, total = [], 0
+    for r in bags.select("doc_id", "n").orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").collect():  # `rows` of them at most
+        if total + r.n <= passages:
+            fits.append(r.doc_id)
+            total += r.n
+    got = bags.filter(F.col("doc_id").isin(fits)).drop("n").toArrow().to_pydict()
+    order = sorted(range(len(got["doc_id"])), key=lambda i: got["doc_id"][i])
     found = [np.array(got["bag"][i]).reshape(-1, FEATURES) for i in order]
     return (np.concatenate(found) if found else np.zeros((0, FEATURES)), np.array([len(b) for b in found], np.int64),
             np.array([got["target"][i] for i in order], float))

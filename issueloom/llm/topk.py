@@ -29,8 +29,14 @@ def integer_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding
 
 
 def _pivots(vectors: DataFrame, width: int) -> np.ndarray:
-    """A few rounds of k-means on a sample of bounded size, taken by a hash of the ids."""
-    rows = vectors.orderBy(F.xxhash64("vec_id", F.lit(9)), "vec_id").limit(PIVOT_SAMPLE).select("v").collect()
+    """A few rounds of k-means on a sample of bounded size, taken by a hash of the ids.
+
+    A threshold of the hash lets through about twice the sample before anything is put in order: the first rows of an order
+    are gathered from every partition.
+    """
+    share = max(1, vectors.count() // (2 * PIVOT_SAMPLE))
+    some = vectors.filter(F.pmod(F.xxhash64("vec_id", F.lit(10)), F.lit(share)) == 0)
+    rows = some.orderBy(F.xxhash64("vec_id", F.lit(9)), "vec_id").limit(PIVOT_SAMPLE).select("v").collect()
     x = _matrix([r["v"] for r in rows], width).astype(float)
     centres = x[:PIVOTS].copy()
     for _ in range(5):

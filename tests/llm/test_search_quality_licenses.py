@@ -171,3 +171,19 @@ def test_every_stage_bears_an_empty_table_and_keeps_the_columns(spark, tmp_path)
         for name, stage in corpus_pipeline.STAGES:
             out = stage(spark, docs, str(tmp_path))
             assert out.columns[:5] == docs.columns and (out.count() > 0) == bool(rows), name
+
+
+def test_training_takes_whole_texts_within_its_sum(spark):
+    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 3 != 1][:40]
+    rows = [(i, words(i, 64 * (i % 5 + 1))) for i in ids] + [(ids[0], "a second row"), (ids[1], None)]
+    docs = documents(spark, rows).select("doc_id", "text")
+    labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id bigint, quality int")
+    least = {}
+    for i, t in rows:
+        least[i] = min(least.get(i, "￿"), t or "")
+    sizes = {i: max(1, -(-len(t.split()) // quality.PASSAGE_WORDS)) for i, t in least.items()}
+    x, passages, target = quality.training_bags(docs, labels)
+    assert passages.tolist() == [sizes[i] for i in sorted(ids)] and len(x) == sum(sizes.values()) and target.tolist() == [i % 2 for i in sorted(ids)]
+    x, passages, _ = quality.training_bags(docs, labels, passages=20)
+    assert 16 <= passages.sum() == len(x) <= 20 and set(passages) <= set(range(1, 6))
+    assert len(quality.training_bags(docs, labels, rows=7)[1]) == 7
