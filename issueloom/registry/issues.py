@@ -3,13 +3,16 @@
 from pyspark.sql import Window, functions as F
 
 from issueloom.functions import signals
+from issueloom.functions.dates import korea_date
 from issueloom.functions.text import tokens
 from issueloom.operators import issues as I
 from issueloom.operators import keywords as K
 from issueloom.operators import rollup as R
 from issueloom.operators.categorize import article_category
 from issueloom.operators.dedupe import effective_articles
+from issueloom.operators.grouping import finalize_groups
 from issueloom.plans import daily
+from issueloom.plans.incremental import day_states, refresh
 from issueloom.registry import sql as q
 from issueloom.registry.base import epoch, query
 from issueloom.rules import TOPIC_RULES
@@ -405,13 +408,29 @@ def summaries_of(t):
 
 @query("j2_b29_daily_summaries", q.with_groups(SUMMARY_SQL, *UP_TO_ISSUES, KEPT, TOP))
 def daily_summaries(t):
-    return summaries_of(t).summaries.select(
+    return summary_texts(summaries_of(t).summaries)
+
+
+def summary_texts(summaries):
+    return summaries.select(
         "date", "headline", "summary", "issue_count", "article_count", "source_count",
         F.array_join(F.transform("categories", lambda c: c["category"]), "|").alias("categories"),
         F.array_join(F.transform("categories", lambda c: c["summary"]), "|").alias("category_texts"),
         F.array_join(F.transform("top_issues", lambda i: i["title"]), "|").alias("titles"))
 
 
+@query("j2_incremental_days", q.with_groups(SUMMARY_SQL, *UP_TO_ISSUES, KEPT, TOP))
+def refreshed(t):
+    """Summaries stored before the articles of one day came in, brought up to date: only days whose groups differ are written anew."""
+    groups, members = t.groups()
+    early = t.articles.filter(korea_date(F.col("published_at")) != F.lit("2024-01-15").cast("date"))
+    was, kept = finalize_groups(t.members, early, LATIN_CATEGORY_RULES)
+    was = materialize(was, "groups")
+    stored = daily.daily_summaries(was, kept, early, t.as_of)
+    states = materialize(day_states(was, kept, early), "day-states")
+    return summary_texts(refresh(groups, members, t.articles, t.as_of, stored, states).summaries.filter("date not like 'weekly:%'"))
+
+
 TOP_ARTICLES = """
 issue_parts as (
   select period, component as issue_id, group_id from merged union all
