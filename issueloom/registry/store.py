@@ -240,3 +240,37 @@ def article_files(t):
     path = f"{run_folder(t.spark)}/articles-{uuid.uuid4().hex}"
     store.write_articles(t.articles.drop("doc_id", "lang"), path)
     return store.read_articles(t.spark, path).select("id", "title", "url", "content")
+
+
+@query("a14_import_summaries", """
+with d as (select ts::date as day, count(*) as n, max(ts) as last, count(distinct user_id) as users, list(distinct event_type order by event_type) as kinds,
+    list(distinct event_id order by event_id) as ids from events group by 1),
+s as (select strftime(day, '%Y-%m-%d') as date, case when day(day) % 2 = 0 then floor(epoch(last))::bigint else 1706659200 end as generated,
+    case when day(day) % 3 = 0 then 'external' else 'manual' end as provider, case when day(day) % 4 = 0 then 'model-1' else '' end as model,
+    case when day(day) % 5 = 0 then '' else n || ' events' end as headline, n::int as issue_count, case when day(day) % 5 = 0 then 0 else users::int end as source_count,
+    case when day(day) % 6 = 0 then '' else array_to_string(kinds, '|') end as titles, case when day(day) % 6 = 0 then [] else ids end as ids, day from d)
+select date, generated, provider, model, headline, issue_count, source_count, titles, len(ids)::bigint as n_articles,
+  coalesce(list_sum(ids), 0)::bigint as sum_articles from s""")
+def imported_summaries(t):
+    """The events of every day written as a summary file by hand, fields left out here and there, and imported."""
+    base = f"{run_folder(t.spark)}/summaries-{uuid.uuid4().hex}"
+    e = t.read("events").select(F.to_date("ts").alias("day"), "ts", "user_id", "event_type", "event_id")
+    days = e.groupBy("day").agg(F.count("*").alias("n"), F.max("ts").alias("last"), F.countDistinct("user_id").alias("users"),
+                                F.array_sort(F.collect_set("event_type")).alias("kinds"),
+                                F.array_sort(F.collect_set("event_id")).alias("ids"))  # the events of a day make one file
+    d = F.dayofmonth("day")
+    ids = F.transform("ids", lambda i: i.cast("string"))
+    issues = F.transform("kinds", lambda k, i: F.struct(k.alias("Title"), F.when(i == 0, ids).otherwise(F.array().cast("array<string>")).alias("ArticleIds")))
+    text = F.to_json(F.struct(
+        F.concat(F.lit(" "), F.date_format("day", "yyyy-MM-dd"), F.lit(" ")).alias("Date"),
+        F.when(d % 2 == 0, F.concat(F.date_format("last", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))).alias("GeneratedAt"),
+        F.when(d % 3 == 0, F.lit("external")).when(d % 3 == 1, F.lit(" ")).alias("Provider"), F.when(d % 4 == 0, F.lit("model-1")).alias("Model"),
+        F.when(d % 5 != 0, F.concat(F.col("n").cast("string"), F.lit(" events"))).alias("Headline"), F.col("n").alias("IssueCount"),
+        F.when(d % 5 != 0, F.col("users")).alias("SourceCount"), F.when(d % 6 != 0, issues).alias("TopIssues")))
+    days.select(text.alias("value"), "day").write.partitionBy("day").text(base)
+    summaries, articles = store.import_summaries(t.spark, f"{base}/day=*", t.as_of)
+    linked = articles.groupBy("date").agg(F.count("*").alias("k"), F.sum(F.col("article_id").cast("bigint")).alias("s"))
+    return summaries.join(linked, "date", "left").select(
+        "date", epoch("generated_at").alias("generated"), "provider", "model", "headline", "issue_count", "source_count",
+        F.array_join(F.transform("top_issues", lambda i: i["title"]), "|").alias("titles"), F.coalesce("k", F.lit(0)).alias("n_articles"),
+        F.coalesce("s", F.lit(0)).alias("sum_articles"))

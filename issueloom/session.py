@@ -20,9 +20,16 @@ def local_session(name: str = "issueloom", cores: str = "*", partitions: int = 8
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; where none is set, a folder inside the warehouse, which every executor reaches too."""
+    """The cluster's checkpoint folder. Where none is set, a folder inside the warehouse, if every task can reach that: on a
+    local master, or when the warehouse is not on a machine's own disk."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/_issueloom"
+    if folder:
+        return folder
+    warehouse, master = spark.conf.get("spark.sql.warehouse.dir"), spark.sparkContext.master
+    alone = master == "local" or master.startswith("local[")
+    if not alone and (warehouse.startswith("file:") or ":/" not in warehouse):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{warehouse}/_issueloom"
 
 
 def run_folder(spark: SparkSession) -> str:
