@@ -27,7 +27,7 @@ def alike(a, b):
     return len(shared) >= 4 or sum(len(w) >= 4 for w in shared) >= 2 or bool(set(a[1]) & set(b[1]))
 
 
-@pytest.mark.parametrize("light", [0, 2, 16])
+@pytest.mark.parametrize("light", [0, 16])
 def test_no_pair_that_shares_enough_is_lost(spark, light):
     r = random.Random(light)
     short, long = [f"s{i}" for i in range(14)], [f"long{i}" for i in range(12)]

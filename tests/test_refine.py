@@ -24,7 +24,7 @@ def plain_passes(vectors, leaders, window, threshold, passes):
     return leaders
 
 
-@pytest.mark.parametrize("passes", [1, 2, 3])
+@pytest.mark.parametrize("passes", [1, 3])
 def test_bounds_change_no_result(spark, monkeypatch, passes):
     r = np.random.default_rng(8)
     centres = r.standard_normal((14, 24))
@@ -70,14 +70,14 @@ def test_settled_articles_meet_no_means_again(spark, monkeypatch):
     assert probes[0] == 200 and probes[1] < 20 and probes[2] < 20
 
 
-@pytest.mark.parametrize("slice_rows", [1, 7, 40, 1000])
+@pytest.mark.parametrize("slice_rows", [7, 1000])
 def test_pages_by_ranges_equal_a_whole_sort(spark, slice_rows):
     r = random.Random(3)
     rows = [(i, r.choice([None, 1, 2, 3]), "x" * i) for i in range(211)]
     df = spark.createDataFrame(rows, "id int, v int, text string").repartition(5)
     order = [F.col("v").desc_nulls_last(), F.asc("id")]
     want = sorted(rows, key=lambda t: (t[1] is None, -(t[1] or 0), t[0]))
-    for page in (1, 2, 11, 21, 22, 99):
+    for page in (1, 11, 22, 99):
         got, numbers = search.paginate(df, order, page, 10, key=["id"], by=["v", "id"], shallow=0, slice_rows=slice_rows)
         low = (numbers["page"] - 1) * 10
         assert [tuple(x) for x in got.collect()] == want[low:low + 10]

@@ -80,7 +80,7 @@ def test_crowded_blocks_are_cut_until_they_fit(spark):
     vectors = clustered(6, 10, 60, size=64, spread=0.05)
     want = all_pairs(vectors, 0.78)
     plain = nodes_of(spark, vectors)
-    for block_rows in (2000, 40):
+    for block_rows in (40,):
         nodes = S.with_blocks(plain, hashed=True, block_rows=block_rows)
         largest = nodes.select(F.explode("blocks").alias("b")).groupBy("b").count().agg(F.max("count")).first()[0]
         got = found(S.similar_pairs(nodes, nodes, self_join=True))
