@@ -2,10 +2,12 @@
 
 import time
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from issueloom.functions.html import _Page, attributes_of, extract_body, extract_image
+from issueloom.functions import slices
+from issueloom.functions.html import _Page, attributes_of, extract_body, extract_image, read_page
 from issueloom.sources import feeds
 
 LONG = "words of a paragraph that is long enough to count, surely"
@@ -111,3 +113,13 @@ def test_feed_files_are_folded_in_document_order(spark, tmp_path):
     assert (atom.author, atom.summary, atom.source) == ("Cy", "s", "atom.example")
     assert feeds.read_atom(spark, str(tmp_path), names, stamp).count() == 1
     assert feeds.read_rss(spark, str(tmp_path), names, stamp).count() == 4
+
+
+def test_pages_are_handed_back_slice_by_slice(spark, monkeypatch):
+    monkeypatch.setattr(slices, "SLICE_CHARS", 2000)
+    pages = pd.Series([f"<article><p>{'x' * 300}</p><img src='{i}.png'></article>" for i in range(40)])
+    out = list(read_page.func(iter([pages])))
+    assert max(map(len, out)) < 8 and pd.concat(out)["images"].map(lambda v: v[-1]).tolist() == [f"{i}.png" for i in range(40)]
+    df = spark.createDataFrame([(i, p) for i, p in enumerate(pages)], "i int, page string")
+    rows = df.select("i", extract_image("page", F.lit("https://a.example/b/")).alias("u")).collect()
+    assert all(r.u == f"https://a.example/b/{r.i}.png" for r in rows) and len(rows) == 40
