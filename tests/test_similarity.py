@@ -92,3 +92,21 @@ def test_blocks_of_copies_stay_whole_and_are_compared_in_chunks(spark, monkeypat
     nodes = S.with_blocks(nodes_of(spark, vectors), hashed=True, bands=6, block_rows=10)
     monkeypatch.setattr(S, "CHUNK_ROWS", 10)
     assert found(S.similar_pairs(nodes, nodes, self_join=True)) == all_pairs(vectors, 0.78)
+
+
+def test_a_chunk_is_sent_once_to_each_tile(spark, monkeypatch):
+    vectors = clustered(9, 3, 100, spread=0.15)
+    want = all_pairs(vectors, 0.7)
+    nodes = S.with_blocks(nodes_of(spark, vectors))
+    monkeypatch.setattr(S, "CHUNK_ROWS", 20)
+    monkeypatch.setattr(S, "TILES", 2)
+    sent, tiled = [], S.tiled
+    monkeypatch.setattr(S, "tiled", lambda pairs: sent.append((pairs, tiled(pairs))) or sent[-1][1])
+    assert found(S.similar_pairs(nodes, nodes, 0.7)) == want
+    (pairs, tiles), = sent
+    once_a_pair = pairs.agg(F.sum(F.expr("probes + indexed"))).first()[0]
+    assert tiles.agg(F.sum("n")).first()[0] < once_a_pair / 3
+    # each open pair is met in one tile
+    bits = tiles.filter("side = 0").alias("l").join(tiles.filter("side = 1").alias("r"), ["block", "pt", "it"]).filter(
+        "shiftright(l.slot, int(r.slot)) & 1 = 1").select("block", F.col("l.chunk").alias("p"), F.col("r.chunk").alias("i"))
+    assert sorted(map(tuple, bits.collect())) == sorted(map(tuple, pairs.select("block", "p", "i").collect()))
