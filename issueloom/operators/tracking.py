@@ -43,10 +43,13 @@ def contained_pairs(short: DataFrame, long: DataFrame) -> DataFrame:
     own = inner.select("id", "size", F.explode(
         F.when(F.col("size") == 8, _grams(F.col("s"), 8)).when(F.col("size") == 4, _grams(F.col("s"), 4))
         .when(F.col("size") == 2, _grams(F.col("s"), 2)).otherwise(_grams(F.col("s"), 1))).alias("gram"))
-    held = long.select(F.col("id").alias("long_id"), F.col("s").alias("ls"), F.explode(F.concat(*[_grams(F.col("s"), n) for n in sizes])).alias("gram"))
+    # what is exploded is estimated at the size it had before, and would be sent to the driver whole: both sides are shuffled
+    held = long.select(F.col("id").alias("long_id"), F.explode(F.concat(*[_grams(F.col("s"), n) for n in sizes])).alias("gram"))
     counts = held.groupBy("gram").agg(F.count("*").alias("n"))
-    rarest = own.join(counts, "gram").groupBy("id").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
-    return (rarest.join(inner.select("id", "s"), "id").join(held, "gram").filter(F.col("ls").contains(F.col("s")))
+    rarest = own.hint("merge").join(counts.hint("merge"), "gram").groupBy("id").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
+    met = rarest.hint("merge").join(held.hint("merge"), "gram").select("id", "long_id")
+    texts = long.select(F.col("id").alias("long_id"), F.col("s").alias("ls"))
+    return (met.join(inner.select("id", "s"), "id").join(texts, "long_id").filter(F.col("ls").contains(F.col("s")))
             .select(F.col("id").alias("short_id"), "long_id"))
 
 
