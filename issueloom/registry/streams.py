@@ -29,8 +29,10 @@ def deduped(t):
     base = f"{run_folder(t.spark)}/stream-{uuid.uuid4().hex}"
     a = t.articles.drop("doc_id", "lang")
     for _ in range(2):
-        a.coalesce(2).write.mode("append").parquet(f"{base}/landing")
-    first = S.stream_dedupe(S.landed(t.spark, f"{base}/landing", files=1)).select("id", "published_at", "title")
+        a.write.mode("append").parquet(f"{base}/landing")
+    # as many files as the table has splits, in four batches
+    files = -(-len(t.spark.read.parquet(f"{base}/landing").inputFiles()) // 4)
+    first = S.stream_dedupe(S.landed(t.spark, f"{base}/landing", files=files)).select("id", "published_at", "title")
     first.writeStream.format("parquet").option("path", f"{base}/table").option(
         "checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
     return t.spark.read.schema(first.schema).parquet(f"{base}/table").select("id", epoch("published_at").alias("published"), "title")
