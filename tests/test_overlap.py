@@ -5,6 +5,7 @@ from itertools import combinations
 
 import pytest
 
+from issueloom.operators import overlap
 from issueloom.operators.overlap import PART_ROWS, meet, overlap_keys
 from issueloom.operators.issues import LEGS, rarest_first
 from issueloom.session import materialize
@@ -66,3 +67,23 @@ def test_keys_of_many_nodes_are_dealt_to_parts(spark):
 def test_sets_without_anything(spark):
     assert met(prepared(spark, [[([], []), (["a"], []), (["a"], [])]])) == set()
     assert prepared(spark, []).count() == 0
+
+
+@pytest.mark.parametrize("rows", [16, 1024])
+def test_common_words_are_counted_and_never_written_out_as_combinations(spark, monkeypatch, rows):
+    """400 issues of 16 short words, each word in about 53 of them: pairs, triples and fours of words would be far more rows than words."""
+    monkeypatch.setattr(overlap, "TILE_ROWS", rows)
+    r = random.Random(5)
+    pool = [f"{i}" for i in range(120)]
+    sets = [[(r.sample(pool, 16), []) for _ in range(400)] for _ in range(2)]
+    nodes = prepared(spark, sets)
+    assert all(len(n.join_keys) + max([len(c.tokens) for c in n.crowded], default=0) <= 16 for n in nodes.collect())
+    want = {(w, f"{w}-{i}", f"{w}-{j}") for w, group in enumerate(sets) for i, a in enumerate(group) for j, b in enumerate(group)
+            if j < i and len(set(a[0]) & set(b[0])) >= 4}
+    assert len(want) > 1000 and met(nodes) == want
+    # one earlier row is enough to know which rows have any
+    probe, index = nodes.filter("rank > 200"), nodes.filter("rank <= 50")
+    found = [(p.window, p.later, p.earlier) for p in overlap.crowded_pairs(probe, index, one=True).collect()]
+    asked = {(w, x, y) for w, x, y in want if int(x.split("-")[1]) >= 200 and int(y.split("-")[1]) < 50}
+    assert set(found) <= asked and {p[:2] for p in found} == {p[:2] for p in asked}
+    assert len(found) < len(asked)
