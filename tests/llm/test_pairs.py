@@ -253,3 +253,42 @@ def test_multikey_order():
     r = np.random.default_rng(3)
     table = r.integers(0, 3, (500, 6), dtype=np.uint64)
     assert [tuple(x) for x in table[suffixes.multikey_order(table)]] == sorted(tuple(x) for x in table)
+
+
+def test_agreement_of_all_pairs_at_once_is_that_of_each_alone():
+    r = np.random.default_rng(5)
+
+    def interval_rows(n):
+        low = r.integers(0, 400, n)
+        return low, low + r.integers(-3, 40, n), r.integers(0, 3, n), r.integers(0, 6, n), r.integers(0, 30, n)
+    low, high, f, group, shift = interval_rows(300)
+    near = (np.maximum(low[:, None], low) <= np.minimum(high[:, None], high) + passages.SHIFT) | (
+        (low[:, None] <= low) & (low <= high[:, None] + passages.SHIFT)) | ((low <= low[:, None]) & (low[:, None] <= high + passages.SHIFT))
+    both = near & (f[:, None] != f) & (group[:, None] == group) & (np.abs(shift[:, None] - shift) <= passages.SHIFT)
+    assert passages._meeting(low, high, f, group, shift).tolist() == both.any(axis=1).tolist()
+
+
+def test_alignments_of_texts_of_few_lines_cover_only_passages():
+    r = random.Random(7)
+    lines = [[1000 * k + j for j in range(9 + k)] for k in range(1, 8)]
+    for _ in range(3):
+        lead, other = (np.array(sum((r.choice(lines) for _ in range(15)), []), np.uint64) for _ in range(2))
+        lead = np.concatenate([lead, np.arange(50000, 50050, dtype=np.uint64)])
+        covered, lead_covered = passages.alignments(passages.Tokens(lead), other, np.arange(len(other)))
+        want, lead_want = np.zeros(len(other), bool), np.zeros(len(lead), bool)
+        for shift in {p - c for c in range(len(other)) for p in np.flatnonzero(lead == other[c]).tolist()}:
+            hit = np.array([other[x] in lead[max(0, x + shift - passages.SHIFT):max(0, x + shift + passages.SHIFT + 1)] for x in range(len(other))])
+            for x in range(len(other) - passages.PASSAGE + 1):
+                at = np.flatnonzero(hit[x:x + passages.PASSAGE]) + x
+                if len(at) >= passages.NEEDED:
+                    want[at[0]:at[-1] + 1] = True
+                    lead_want[max(0, at[0] + shift):max(0, at[-1] + 1 + shift)] = True
+        assert covered.any() and not (covered & ~want).any() and not (lead_covered & ~lead_want).any()
+
+
+def test_equal_surroundings_in_a_text_are_one_row(spark):
+    line, odd = words(21, 70), words(22, 60)
+    rows = [(1, f"{odd} " + " ".join([line] * 60), [{"key": 5, "place": 66 + 70 * i, "loose": i == 9} for i in range(50)])]
+    got = spark.createDataFrame(rows, "doc_id bigint, text string, members array<struct<key: bigint, place: int, loose: boolean>>")
+    near = passages.map_texts(got, passages._surroundings, "key bigint, doc_id bigint, place int, loose boolean, near binary").collect()
+    assert len(near) == 2 and any(r.loose for r in near)  # the first line stands beside other words
