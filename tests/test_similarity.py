@@ -1,6 +1,9 @@
 """Similar pairs with pivots and with blocks that are cut further, against all dot products."""
 
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -110,3 +113,76 @@ def test_a_chunk_is_sent_once_to_each_tile(spark, monkeypatch):
     bits = tiles.filter("side = 0").alias("l").join(tiles.filter("side = 1").alias("r"), ["block", "pt", "it"]).filter(
         "shiftright(l.slot, int(r.slot)) & 1 = 1").select("block", F.col("l.chunk").alias("p"), F.col("r.chunk").alias("i"))
     assert sorted(map(tuple, bits.collect())) == sorted(map(tuple, pairs.select("block", "p", "i").collect()))
+
+
+def tile(vectors, mask=1, slot=0):
+    n = len(vectors)
+    whole = lambda v, kind: pa.array([v] * n, kind)
+    none = pa.nulls(n, pa.list_(pa.int64()))
+    return pa.RecordBatch.from_pydict({
+        "block": whole(5, pa.int64()), "pt": whole(0, pa.int64()), "it": whole(0, pa.int64()), "side": whole(0, pa.int32()),
+        "chunk": whole(0, pa.int64()), "mask": whole(mask, pa.int64()), "slot": whole(slot, pa.int64()), "window": whole(0, pa.int32()),
+        "rank": pa.array(range(1, n + 1), pa.int64()), "vector": pa.array(vectors.tolist()), "blocks": none, "bands": none})
+
+
+def test_what_a_task_holds_does_not_grow_with_the_pairs_it_finds():
+    vectors = np.repeat(clustered(10, 1, 1), 3000, axis=0)
+    batch, pairs = tile(vectors), 0
+    tracemalloc.start()
+    for out in S._score_tiles(0.78, True, True, False, None, False)([batch.slice(0, 1000), batch.slice(1000)]):
+        assert out.num_rows <= S.ROWS_OUT
+        pairs += out.num_rows
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert pairs == 3000 * 2999 // 2 and peak < 100e6  # the pairs alone are 108 MB as two places and a score
+
+
+def test_blocks_that_would_compare_more_than_windows_find_the_same_pairs(spark, monkeypatch):
+    vectors = clustered(11, 6, 30, size=48, spread=0.1)
+    nodes = S.with_blocks(nodes_of(spark, vectors, lambda i: i // 90), hashed=True, bits=4, bands=24, block_rows=40)
+    blocks = {int(r.id): set(r.blocks) for r in nodes.select("id", "blocks").collect()}
+    near = all_pairs(vectors, 0.3, lambda i: i // 90)
+    want = {(i, j) for i, j in near if blocks[i] & blocks[j]}
+    assert len(want) < len(near)
+    sent, sides = [], S._sides
+    monkeypatch.setattr(S, "_sides", lambda *a: sent.append(sides(*a)) or sent[-1])
+    assert found(S.similar_pairs(nodes, nodes, 0.3)) == want
+    assert sent[0].count() == len(vectors)  # once each, not once a block
+    monkeypatch.setattr(S, "CHUNK_ROWS", 12)
+    monkeypatch.setattr(S, "SLAB", 40)
+    assert found(S.similar_pairs(nodes, nodes, 0.3, self_join=True)) == want
+    # blocks of few rows are still compared one by one
+    fine = S.with_blocks(nodes_of(spark, vectors, lambda i: i // 90), hashed=True, bits=12, bands=8)
+    blocks = {int(r.id): set(r.blocks) for r in fine.select("id", "blocks").collect()}
+    assert found(S.similar_pairs(fine, fine, 0.3)) == {(i, j) for i, j in near if blocks[i] & blocks[j]}
+
+
+def test_rows_of_one_table_are_sent_for_both_sides_at_once(spark, monkeypatch):
+    vectors = clustered(12, 3, 60, spread=0.15)
+    nodes = S.with_blocks(nodes_of(spark, vectors))
+    monkeypatch.setattr(S, "CHUNK_ROWS", 20)
+    rows, chunked = [], S.chunked_sides
+    monkeypatch.setattr(S, "chunked_sides", lambda *a: rows.append(chunked(*a)) or rows[-1])
+    got = S.similar_pairs(nodes, nodes, 0.7, ids=False)
+    assert rows[0][0].count() == len(vectors)
+    assert sorted((r.later_rank - 1, r.earlier_rank - 1) for r in got.collect()) == sorted(all_pairs(vectors, 0.7))
+
+
+@pytest.mark.parametrize("chunk_rows", [2000, 15])
+def test_only_the_best_pairs_leave_a_task(spark, monkeypatch, chunk_rows):
+    vectors = np.round(clustered(13, 3, 40, size=6, spread=0.2), 1)  # ties
+    nodes = S.with_blocks(nodes_of(spark, vectors).withColumn("half", F.col("rank") % 2))
+    monkeypatch.setattr(S, "CHUNK_ROWS", chunk_rows)
+    dots = np.round(vectors @ vectors.T, 9)
+    for most, ordered in ((1, True), (2, False)):
+        flat = nodes if ordered else nodes.withColumn("rank", F.lit(0).cast("bigint"))
+        pairs = S.similar_pairs(flat.filter("half = 0"), flat.filter("half = 1"), 0.78, ordered, most=most).collect()
+        got = {}
+        for r in pairs:
+            got.setdefault(int(r.later), []).append((-r.score, r.earlier_rank, [-ord(c) for c in r.earlier] + [1], int(r.earlier)))
+        if chunk_rows == 2000:
+            assert max(map(len, got.values())) <= most
+        for i in range(1, len(vectors), 2):  # half 0: odd places
+            want = sorted((-dots[i, j], j + 1 if ordered else 0, [-ord(c) for c in str(j)] + [1], j)
+                          for j in range(0, len(vectors), 2) if dots[i, j] >= 0.78 and (j < i or not ordered))[:most]
+            assert [x[3] for x in sorted(got.get(i, []))[:most]] == [x[3] for x in want]
