@@ -63,6 +63,23 @@ def test_selection_equals_the_scan(spark, monkeypatch):
     assert {int(r.id) for r in ordered_select(nodes, pairs).collect()} == want
 
 
+def test_edges_of_ranks_are_gone_through_in_order(spark, monkeypatch):
+    from issueloom.operators import selection
+
+    rng = random.Random(6)
+    n, windows = 90, 3
+    edges = [{tuple(sorted(rng.sample(range(n), 2))) for _ in range(200)} for _ in range(windows)]
+    nodes = spark.createDataFrame([(w, f"{w}-{i}", i + 1) for w in range(windows) for i in range(n)], "window int, id string, rank bigint")
+    pairs = spark.createDataFrame([(w, max(e) + 1, min(e) + 1) for w in range(windows) for e in edges[w]], "window int, later_rank bigint, earlier_rank bigint")
+    want = {f"{w}-{i}" for w in range(windows) for i in scan(n, edges[w])}
+    for batch in (10_000, 7):  # edges of a node come in several batches
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        assert {r.id for r in ordered_select(nodes, pairs).collect()} == want
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    monkeypatch.setattr(selection, "FINISH_EDGES", 0)
+    assert {r.id for r in ordered_select(nodes, pairs).collect()} == want
+
+
 def test_batched_selection_on_vectors(spark, monkeypatch):
     rng = np.random.default_rng(3)
     base = rng.standard_normal((12, 32))
