@@ -186,3 +186,13 @@ def test_only_the_best_pairs_leave_a_task(spark, monkeypatch, chunk_rows):
             want = sorted((-dots[i, j], j + 1 if ordered else 0, [-ord(c) for c in str(j)] + [1], j)
                           for j in range(0, len(vectors), 2) if dots[i, j] >= 0.78 and (j < i or not ordered))[:most]
             assert [x[3] for x in sorted(got.get(i, []))[:most]] == [x[3] for x in want]
+
+
+def test_means_are_sums_of_whole_vectors(spark):
+    vectors = spark.createDataFrame([("a", [1.0, 2.0]), ("b", [3.0, None]), ("c", [5.0, 6.0, 9.0]), ("d", []), ("e", None), ("f", [0.5])],
+                                    "id string, embedding array<double>")
+    members = spark.createDataFrame([("x", "a"), ("x", "b"), ("x", "c"), ("x", "d"), ("y", "f"), ("z", "e"), ("w", "d")], "group_id string, article_id string")
+    means = S.centroids(members, vectors)
+    assert {r.group_id: r.vector for r in means.collect()} == {"x": [3.0, 4.0, 9.0], "y": [0.5]}
+    assert S.centroids(members, vectors.limit(0)).collect() == []
+    assert "explode" not in means._jdf.queryExecution().executedPlan().toString()  # numbers of vectors are not rows
