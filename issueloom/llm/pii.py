@@ -41,13 +41,13 @@ _ALIKE = {
     "​": "", "‌": "", "‍": "", "⁠": "", "﻿": "", "­": "",
 }
 _DIGIT_WORD = "(?:%s)" % "|".join(_SPELLED)
-_RUN = re.compile(rf"(?<![A-Za-z0-9])(?:plus[\s-]+)?{_DIGIT_WORD}(?:[\s,-]+(?:(?:dot|point)[\s-]+)?{_DIGIT_WORD}){{2,}}(?![A-Za-z])", re.I)
+_RUN = re.compile(rf"(?<![A-Za-z0-9])(?:plus[\s-]+)?{_DIGIT_WORD}(?:[\s,-]++(?:(?:dot|point)[\s-]++)?{_DIGIT_WORD}){{2,}}(?![A-Za-z])", re.I)
 _RUN_PART = re.compile(rf"plus|dot|point|{_DIGIT_WORD}", re.I)
 # blanks are never given back: long runs of them beside a bracket or a word are read once
 _ANY_DOT = r"(?:\s*+[\[({<])?+\s*+dot\s*+(?:[\])}>]\s*+)?"
-_WORD_AT = re.compile(rf"(?<=[A-Za-z0-9])\s+(at)\s+(?=[A-Za-z0-9-]+?(?:{_ANY_DOT}[A-Za-z0-9-]+?)+(?![A-Za-z0-9]))", re.I)
+_WORD_AT = re.compile(rf"(?<=[A-Za-z0-9])\s++(at)\s++(?=[A-Za-z0-9-]+?(?:{_ANY_DOT}[A-Za-z0-9-]+?)+(?![A-Za-z0-9]))", re.I)
 _BRACKETED = re.compile(r"(?:(?<!\s)\s++)?[\[({<]\s*+(at|dot|@|\.)\s*+[\])}>]\s*+", re.I)
-_WORD_DOT = re.compile(r"(?<=[A-Za-z0-9])\s+(dot)\s+(?=[A-Za-z0-9])", re.I)
+_WORD_DOT = re.compile(r"(?<=[A-Za-z0-9])\s++(dot)\s++(?=[A-Za-z0-9])", re.I)
 
 
 def _look_alikes() -> dict[str, str]:
